@@ -281,12 +281,12 @@ def existing_images_semi(spark, sf_dir):
     return _sheet(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi").select("word_id")
 
 
-_SIZE = (F.lit(640), F.lit(480))
+_size = lambda: (F.lit(640), F.lit(480))
 _CENTRE = "(SELECT line_id, (x1 + x2) / 2.0 / 640 AS cx, (y1 + y2) / 2.0 / 480 AS cy, (x2 - x1) / 640.0 AS w, (y2 - y1) / 480.0 AS h FROM rx) c"
 
 
 def _centres(spark, sf_dir):
-    box = G.to_centre(*[F.col(c) for c in G.BOX], *_SIZE)
+    box = G.to_centre(*[F.col(c) for c in G.BOX], *_size())
     return _lines(spark, sf_dir).select("line_id", *[c.alias(k) for k, c in box.items()])
 
 
@@ -302,7 +302,7 @@ _cut = lambda k: _CUT.format(c=_EDGES[k][0], s=_EDGES[k][1], d=_EDGES[k][2], n=_
 
 @query("SELECT line_id, " + ", ".join(f"greatest(0, least({_cut(k)}, {_EDGES[k][3] - 1})) AS {k}" for k in _EDGES) + f" FROM {_CENTRE}")
 def yolo_decode_runner(spark, sf_dir):
-    box = G.from_centre(*[F.col(c) for c in ("cx", "cy", "w", "h")], *_SIZE)
+    box = G.from_centre(*[F.col(c) for c in ("cx", "cy", "w", "h")], *_size())
     return _centres(spark, sf_dir).select("line_id", *[c.alias(k) for k, c in box.items()])
 
 
@@ -310,13 +310,13 @@ def yolo_decode_runner(spark, sf_dir):
     f"greatest({int(k[1] == '2')}, least({_cut(k)} {'-' if k[1] == '1' else '+'} 8, {_EDGES[k][3] - int(k[1] == '1')})) AS {k}" for k in _EDGES
 ) + f" FROM {_CENTRE}) q WHERE (x2 - x1) * (y2 - y1) >= 2000")
 def yolo_decode_cropper(spark, sf_dir):
-    box = G.from_centre_padded(*[F.col(c) for c in ("cx", "cy", "w", "h")], *_SIZE)
+    box = G.from_centre_padded(*[F.col(c) for c in ("cx", "cy", "w", "h")], *_size())
     return _centres(spark, sf_dir).select("line_id", *[c.alias(k) for k, c in box.items()]).where("(x2 - x1) * (y2 - y1) >= 2000")
 
 
 @query("SELECT line_id, greatest(0, x1 - 6) + 100 AS x1, greatest(0, y1 - 6) + 50 AS y1, least(639, x2 + 6) + 100 AS x2, least(479, y2 + 6) + 50 AS y2 FROM rx")
 def box_expand_translate(spark, sf_dir):
-    box = G.expand(*[F.col(c) for c in G.BOX], 6, 6, *_SIZE)
+    box = G.expand(*[F.col(c) for c in G.BOX], 6, 6, *_size())
     return _lines(spark, sf_dir).select("line_id", *[(c + (100 if k[0] == "x" else 50)).alias(k) for k, c in box.items()])
 
 
