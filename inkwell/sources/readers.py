@@ -63,7 +63,7 @@ def detector_labels(spark: SparkSession, path: str, target: int | None = None) -
 
 def class_names(spark: SparkSession, path: str) -> DataFrame:
     """(index, name) of the non-blank lines, in order."""
-    lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("index", "name"))
 
 
