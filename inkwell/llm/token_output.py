@@ -15,23 +15,31 @@ are ignored; an empty table gives no blocks.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"IKT1"
 HEADER = struct.Struct("<4sHxxIQ")
 BLOCKS = "shard int, block int, first_doc long, n_docs int, n_ids long, data binary"
+ROW = pa.schema([
+    ("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("data", pa.binary()),
+])
 NO_ID = -(1 << 63)
 END_ID = 1
 BLOCK_IDS = 1 << 16
 #: Chunks that a worker remembers; each holds some 150 bytes.
 REMEMBERED = 1_000_000
+#: Bytes of text that are cut into chunks at once; a longer text is cut alone.
+SLICE_BYTES = 1 << 24
 
 
 def bits_for(vocabulary: int) -> int:
@@ -75,47 +83,128 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray, int, memoryview]:
     return doc_ids, offsets, bits, memoryview(data)[at + 8 * n_docs + 8 * (n_docs + 1) :]
 
 
+#: A normalizer and splitter under which a run of letters is one piece of its own.
+LETTER_RUNS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+#: ASCII marks but ">", with which the added tokens end; and as a character class.
+MARKS = "!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~"
+CLOSING = r"!-/:-=?@\[-`{-~"
+#: Letters of Latin-1, as a character class: each is one code point under every normal form that composes.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+
+
+def letter_runs(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases and gives each run of letters an end-of-word id, the last of its ids."""
+    form = json.loads(tokenizer.to_str())
+    steps = (form["normalizer"] or {}).get("normalizers", [])
+    cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == LETTER_RUNS["normalizer"] and [x["type"] for x in cuts] == LETTER_RUNS["pre_tokenizer"]
+        and all(x["content"].endswith(">") for x in form["added_tokens"]) and cuts[0]["pattern"] == {"Regex": LETTER_RUNS["pattern"]} and form["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
 class Encoder:
     """Ids of whole texts; white-space separated chunks are encoded once and remembered.
 
     The tokenizer never looks across white space, so the ids of a text are
     those of its chunks in order. Only ASCII white space cuts: all else,
-    special tokens included, stays inside a chunk.
+    special tokens included, stays inside a chunk. Where ``letter_runs`` holds,
+    a chunk that ends in a letter or digit and marks after it is looked up as
+    those two parts, and words of Latin-1 letters go to the same model in lower
+    case without the normalizer and the pattern, which leave them as they are.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks, many in a call: the offsets tell whose id each is."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
+        self.known: dict[str, bytes] = {"": b""}
+        self.words = None
+        if letter_runs(self.tokenizer):
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ])
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def keep(self, chunks: list[str], ids: np.ndarray, cut: np.ndarray) -> None:
+        raw = ids.tobytes()
+        at = (4 * cut).tolist()
+        self.known.update(zip(chunks, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words of Latin-1 letters in lower case: each ends at the first id that ends a word."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cut) == len(part):
+                self.keep(part, ids, np.concatenate([[0], cut]))
+            else:
+                self.learn_any(part)
+
+    def learn_any(self, chunks: list[str]) -> None:
+        """Encode chunks of any kind: the offsets tell whose id each is."""
         for k in range(0, len(chunks), 4096):
             part = chunks[k : k + 4096]
-            texts = [c.decode() for c in part]
             starts = np.zeros(len(part) + 1, np.int64)
-            np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
+            np.cumsum([len(t) + 1 for t in part], out=starts[1:])
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             first = np.array([a for a, _ in got.offsets], np.int64)
-            cut = np.searchsorted(first, starts)
-            raw = ids.tobytes()
-            for c, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self.known[c] = raw[4 * a : 4 * b]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        chunks = text.encode().split()
-        known = self.known
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            self.learn(new)
-            known = self.known
-            if len(known) < len(set(chunks)):  # the memory was emptied meanwhile
-                self.learn([c for c in dict.fromkeys(chunks) if c not in known])
-        return b"".join(map(known.__getitem__, chunks))
+            self.keep(part, np.array(got.ids, "<u4"), np.searchsorted(first, starts))
+
+    def look_up(self, pieces: pa.Array, words: pa.Array | None) -> list[bytes]:
+        """The ids of distinct pieces; new ones are encoded, many in a call."""
+        each = pieces.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.known.get, each))
+        new = [k for k, x in enumerate(raw) if x is None]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {"": b""}, [k for k, x in enumerate(each) if x]
+        if words is None:
+            self.learn_any([each[k] for k in new])
+        else:
+            word = words.to_numpy(zero_copy_only=False)
+            self.learn_words([each[k] for k in new if word[k]])
+            self.learn_any([each[k] for k in new if not word[k]])
+        for k in new:
+            raw[k] = self.known[each[k]]
+        return raw
+
+    def ids_of(self, chunks: pa.Array) -> pa.Array:
+        """A list of ids for each of these distinct chunks."""
+        if self.words is None:
+            return id_lists(self.look_up(chunks, None))
+        cut = pc.match_substring_regex(chunks, f"[0-9{LETTERS}][{CLOSING}]+$")
+        cores = pc.if_else(cut, pc.ascii_rtrim(chunks, MARKS), chunks)
+        tails = pc.replace_with_mask(
+            pc.utf8_slice_codeunits(chunks, 0, 0), cut, pc.replace_substring_regex(chunks.filter(cut), f"^.*[0-9{LETTERS}]", "")
+        )
+        cores = pc.if_else(pc.match_substring_regex(cores, f"^[{LETTERS}]+$"), pc.utf8_lower(cores), cores)
+        pieces = pa.concat_arrays([cores, tails]).dictionary_encode()
+        raw = self.look_up(pieces.dictionary, pc.match_substring_regex(pieces.dictionary, f"^[{LETTERS}]+$"))
+        # Core and tail of each chunk in turn; two lists become one.
+        turns = pieces.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.reshape(-1)
+        both = id_lists(raw).take(pa.array(turns))
+        return pa.LargeListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin; the end of the last follows."""
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.values.dictionary_encode()
+        each = self.ids_of(coded.dictionary).take(coded.indices)
+        return each.values.to_numpy(), each.offsets.to_numpy()[chunks.offsets.to_numpy()]
+
+
+def id_lists(raw: list[bytes]) -> pa.Array:
+    starts = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) >> 2, out=starts[1:])
+    return pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(raw), "<u4")))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -128,29 +217,43 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most so many bytes; a longer text is alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(sizes):
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
+        yield at, end
+        at = end
+
+
 def encoded_blocks(path: str, end_id: int, vocabulary: int, block_ids: int):
     bits = bits_for(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, block, docs, ids, total = encoder(path), 0, [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
-
-        def full(shard: int) -> pd.DataFrame:
-            return pd.DataFrame([(shard, block, docs[0], len(docs), total, make_block(docs, ids, bits))],
-                                columns=["shard", "block", "first_doc", "n_docs", "n_ids", "data"])
-
-        shard = 0
-        for frame in frames:
-            for doc_id, text, shard in zip(frame["doc_id"], frame["text"], frame["shard"], strict=True):
-                got = np.frombuffer(of.encode(text or "") + end, "<u4")
-                if docs and total + len(got) > block_ids:
-                    yield full(shard)
-                    block, docs, ids, total = block + 1, [], [], 0
-                docs.append(int(doc_id))
-                ids.append(got)
-                total += len(got)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, block, shard, docs, ids, total = encoder(path), 0, 0, [], [], 0
+        end = np.array([end_id], "<u4")
+
+        def full() -> pa.RecordBatch:
+            row = (shard, block, docs[0], len(docs), total, make_block(docs, ids, bits))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ROW, strict=True)], schema=ROW)
+
+        for batch in batches:
+            texts = pc.fill_null(batch["text"].cast(pa.large_string()), "")
+            for a, b in slices(texts, SLICE_BYTES):
+                got, starts = of.encode(texts.slice(a, b - a))
+                for k, doc_id in enumerate(batch["doc_id"].slice(a, b - a).to_pylist()):
+                    own = np.concatenate([got[starts[k] : starts[k + 1]], end])
+                    if docs and total + len(own) > block_ids:
+                        yield full()
+                        block, docs, ids, total = block + 1, [], [], 0
+                    shard = batch["shard"][0].as_py()
+                    docs.append(doc_id)
+                    ids.append(own)
+                    total += len(own)
         if docs:
-            yield full(shard)
+            yield full()
 
     return run
 
@@ -165,7 +268,7 @@ def write_tokens(
         docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("_ik_tie"))
         .repartitionByRange("doc_id", "_ik_tie").sortWithinPartitions("doc_id", "_ik_tie")
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
-        .mapInPandas(encoded_blocks(tokenizer_path, end_id, vocabulary, block_ids), BLOCKS)
+        .mapInArrow(encoded_blocks(tokenizer_path, end_id, vocabulary, block_ids), BLOCKS)
         .write.option("compression", "zstd").parquet(path)
     )
 

@@ -4,15 +4,16 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from inkwell.llm.mixing import mix_report, mixed_documents
 from inkwell.llm.queries import TOKENIZER, token_rows
 from inkwell.llm.sharding import shard_digest, shuffle_into_shards, write_shards
-from inkwell.llm.token_output import make_block, pack, read_block, unpack
+from inkwell.llm.token_output import Encoder, encoder, make_block, pack, read_block, slices, unpack
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -37,6 +38,32 @@ def test_blocks_give_each_document():
     assert unpack(packed, bits, 3, 3).tolist() == [49_000, 7, 1]
 
 
+ODD_TEXTS = [
+    "", None, " \t ", "<|ENDOFTEXT|>. <|endoftext|> a<|startoftext|>b, X <|endoftext|>.", "It's o'CLOCK, don't!! 3.14, ab1. (x). it' 'S x's'",
+    "É, H\u0331. İstanbul, ǅ, a\u00a0b. \x1cq x\x85y. é\u0301. ÿ, ab\x00. .,;a a$$$ a>, a.> ×. x×.", "it’s ß. ª, µ; x\u0301, CO2. ... ﬁn. ΣΣ, ٣.",
+]
+
+
+def test_ids_are_those_of_whole_texts():
+    path = public_tokenizers.path(TOKENIZER)
+    t, of = Tokenizer.from_file(path), Encoder(path)
+    assert of.words is not None
+    texts = pa.array(ODD_TEXTS * 2, pa.large_string()).fill_null("")
+    for a, b in [*slices(texts, 40), (0, len(texts)), (3, 5), (2, 3)]:
+        ids, starts = of.encode(texts.slice(a, b - a))
+        for k in range(b - a):
+            assert ids[starts[k] : starts[k + 1]].tolist() == t.encode(texts[a + k].as_py(), add_special_tokens=False).ids
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZéß'.,<|>$1 \u0301\u0331\u212aσ\n"), max_size=20), max_size=6))
+def test_ids_of_any_text(texts):
+    of = encoder(public_tokenizers.path(TOKENIZER))
+    ids, starts = of.encode(pa.array(texts, pa.large_string()))
+    got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert got == [of.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_digests(spark, docs, rows):
     t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
     start, want = 0, {}
