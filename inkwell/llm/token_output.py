@@ -37,9 +37,9 @@ NO_ID = -(1 << 63)
 END_ID = 1
 BLOCK_IDS = 1 << 16
 #: Chunks that a worker remembers; each holds some 150 bytes.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Bytes of text that are cut into chunks at once; a longer text is cut alone.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 22
 
 
 def bits_for(vocabulary: int) -> int:
