@@ -1,11 +1,12 @@
 """License scans by a positional rare-token index.
 
-The templates are indexed by word: (word, template, position). For each file
-the words with the highest inverse document frequency (over the whole table)
-among the indexed ones are looked up; each posting proposes an alignment (the
-template, and where in the file it would start); alignments are intersected by
-relative position, and one counts if the template's mandatory key phrase stands
-at its place and at least ``min_score`` of the template's words do.
+The templates are indexed by word: (word, template, position). An alignment (a
+template, and where in the file it would start) counts if the template's
+mandatory key phrase stands at its place and at least ``min_score`` of the
+template's words do. So each template is looked up by the word of its key phrase
+that has the highest inverse document frequency (over the whole table): every
+place of that word in a file proposes an alignment, and no other can count,
+however many notices the file holds.
 
 Beside it, the base phrases are counted at every place where their words stand
 consecutively. Defined results: null and empty texts have no words, empty
@@ -42,7 +43,6 @@ TEMPLATES = [
 ]
 #: Words of the notices that are too common in prose to be indexed.
 COMMON = set("a all and any are by can code form forms in is it of or person source the this to under use with without work you 0 2 3 4".split())
-RARE_WORDS = 8
 MIN_SCORE = 0.5
 
 
@@ -60,41 +60,43 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(there, F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)).otherwise(none)
 
 
-def _index() -> tuple[list[str], Column, Column]:
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()} - COMMON)
-    postings = F.array(*[
-        F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(k).alias("k"))
-        for t, (_, notice, _) in enumerate(TEMPLATES) for k, w in enumerate(notice.split()) if w in vocabulary
-    ])
+def _index() -> tuple[list[tuple[str, int, int]], Column]:
+    """Postings (word, template, position) of the key phrases' indexed words, and the templates."""
+    starts = [len(notice[: re.search(rf"\b{key}\b", notice).start()].split()) for _, notice, key in TEMPLATES]
+    postings = [
+        (w, t, at + k)
+        for t, ((_, _, key), at) in enumerate(zip(TEMPLATES, starts, strict=True)) for k, w in enumerate(key.split()) if w not in COMMON
+    ]
     lit = lambda words: F.array(*[F.lit(w) for w in words])
-    starts = lambda notice, key: len(notice[: re.search(rf"\b{key}\b", notice).start()].split())
     templates = F.array(*[
         F.struct(
             F.lit(label).alias("label"), lit(notice.split()).alias("words"),
-            lit(key.split()).alias("key"), F.lit(starts(notice, key)).alias("at"),
+            lit(key.split()).alias("key"), F.lit(at).alias("at"),
         )
-        for label, notice, key in TEMPLATES
+        for (label, notice, key), at in zip(TEMPLATES, starts, strict=True)
     ])
-    return vocabulary, postings, templates
+    return postings, templates
 
 
-def rare_words(worded: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The indexed words that occur, rarest first: at most one row for each word of the templates."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
+def rare_postings(worded: DataFrame, postings: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of each template the posting of its rarest word; at most one row for each word of the key phrases is collected."""
+    known = F.array(*[F.lit(w) for w in sorted({w for w, *_ in postings})])
     rows = (
         worded.select(F.explode(F.array_intersect(known, "_ik_words")).alias("w"))
         .groupBy("w").agg(F.count("*").alias("df")).collect()
     )
-    return [r["w"] for r in sorted(rows, key=lambda r: (r["df"], r["w"]))]
+    df = {r["w"]: r["df"] for r in rows}
+    return [min((p for p in postings if p[1] == t), key=lambda p: (df.get(p[0], 0), p)) for t in range(len(TEMPLATES))]
 
 
-def scan_licenses(files: DataFrame, rare: int = RARE_WORDS, min_score: float = MIN_SCORE) -> DataFrame:
+def scan_licenses(files: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row a file: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     worded = files.select("doc_id", license_words(F.col("text")).alias("_ik_words"))
-    vocabulary, postings, templates = _index()
-    by_idf = rare_words(worded, vocabulary)
+    postings, templates = _index()
+    rare = rare_postings(worded, postings)
+    postings = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(t).alias("t"), F.lit(k).alias("k")) for w, t, k in rare])
     words = F.col("_ik_words")
-    known = F.array(*[F.lit(w) for w in by_idf]).cast("array<string>")
+    known = F.array(*[F.lit(w) for w in sorted({w for w, *_ in rare})])
 
     def proposed(i: Column) -> Column:
         """Alignments that the word at i proposes."""
@@ -109,7 +111,7 @@ def scan_licenses(files: DataFrame, rare: int = RARE_WORDS, min_score: float = M
         return F.when(whole, F.struct(t["label"].alias("label"), (hits / F.size(t["words"])).alias("score")))
 
     nothing = F.array().cast("array<struct<label:string,score:double>>")
-    looked_up = worded.withColumn("_ik_rare", F.slice(F.array_intersect(known, words), 1, rare))
+    looked_up = worded.withColumn("_ik_rare", F.array_intersect(known, words))
     looked_up = looked_up.withColumn(
         "_ik_places",
         F.when(F.size("_ik_rare") > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains("_ik_rare", F.get(words, i))))
@@ -120,7 +122,7 @@ def scan_licenses(files: DataFrame, rare: int = RARE_WORDS, min_score: float = M
     found = F.when(
         F.size("_ik_places") > 0,
         F.filter(
-            F.transform(F.array_distinct(F.flatten(F.transform("_ik_places", proposed))), scored),
+            F.transform(F.flatten(F.transform("_ik_places", proposed)), scored),
             lambda x: x.isNotNull() & (x["score"] >= min_score),
         ),
     ).otherwise(nothing)

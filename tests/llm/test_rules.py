@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from inkwell.llm.license_scan import BASE, scan_licenses
+from inkwell.llm.license_scan import BASE, MIN_SCORE, TEMPLATES, scan_licenses
 from inkwell.llm.quality_rules import filter_quality, quality_report
 from inkwell.llm.warc_revisits import canonical_url, records_of_pages, resolve_revisits
 
@@ -41,6 +41,35 @@ def test_base_phrases(notices):
     assert got[90_000]["labels"] == "cc-by" and got[90_000]["score"] == 1
 
 
+def scan(text):
+    """Labels and best score, by every alignment of every template."""
+    words, found = TERM.findall((text or "").translate(LOWER)), []
+    for label, notice, key in TEMPLATES:
+        notice, key = notice.split(), key.split()
+        at = next(k for k in range(len(notice)) if notice[k : k + len(key)] == key)
+        for start in range(-at, len(words)):
+            if words[start + at : start + at + len(key)] == key:
+                hits = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(notice))
+                found += [(hits / len(notice), label)] if hits >= MIN_SCORE * len(notice) else []
+    labels = {x for _, x in found} | set(filter(None, base(text)[-1].split(",")))
+    return ",".join(sorted(labels)), max([s for s, _ in found], default=0.0)
+
+
+def test_files_of_several_notices(spark):
+    gpl, mit = TEMPLATES[6][1], "Released under the MIT license."
+    every = [notice for _, notice, _ in TEMPLATES]
+    texts = [
+        f"{gpl}. {mit}", f"{mit} {gpl}", ". ".join(every), ". ".join(every[::-1]), ". ".join(every * 2), None, "",
+        "; ".join(" ".join(n.split()[2:]) for n in every),
+        "; ".join(f"{a} {b}" for a in every for b in (mit, "prose of the public and general kind")),
+        *[f"{a}, {b}" for a in every for b in every],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(df).collect()}
+    assert got == {k: scan(t) for k, t in enumerate(texts)}
+    assert got[0][0] == "gpl,mit" and set(got[2][0].split(",")) == {label for label, *_ in TEMPLATES}
+
+
 def test_scan_of_odd_and_empty_tables(odd, nothing):
     assert scan_licenses(odd).count() == odd.count() and scan_licenses(nothing).count() == 0
 
