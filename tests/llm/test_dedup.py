@@ -126,6 +126,31 @@ def test_one_of_each_group_stays(docs, rows):
     assert drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_null_and_reused_ids_are_rows_of_their_own(spark):
+    import random
+
+    r = random.Random(8)
+    prose = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(60))
+    a, b, c, d, e, f, g, h = (prose() for _ in range(8))
+    rows = [
+        (None, a), (None, b), (5, a + " tail"), (None, c), (6, c.upper()),  # 5 and 6 go, to null ids
+        (7, d), (7, e), (3, e + " tail"), (9, d + " tail"),  # of 7 one text goes to 3, the other stays and takes 9
+        (8, f), (8, f), (8, f + " tail"), (None, g), (None, g), (-(1 << 63), h), (None, h),
+        (None, None), (None, ""), (None, " "), (4, None), (4, None),
+    ]
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "doc_id long, text string, n_chars int").repartition(4)
+    out = drop_near_duplicates(df)
+    got = Counter((x["doc_id"], x["text"]) for x in out.collect())
+    assert out.columns == df.columns
+    eights = [x for x in got if x[0] == 8]
+    assert len(eights) == 1 and eights[0] in ((8, f), (8, f + " tail"))
+    hs = [x for x in got if x[1] == h]
+    assert len(hs) == 1
+    rest = [x for x in got.elements() if x not in (*eights, *hs)]
+    want = [(None, a), (None, b), (None, c), (7, d), (3, e + " tail"), (None, g), (None, None), (None, ""), (None, " "), (4, None), (4, None)]
+    assert Counter(rest) == Counter(want) and got[eights[0]] == got[hs[0]] == 1
+
+
 def items(rows):
     long = next(t for _, t, *_ in rows if t and len(t) > 50_000).split()
     return [(1, " ".join(long[500:540])), (2, " ".join(long[900:930]).upper()), (3, "two words"), (4, None), (5, ""), (6, "not in any of the documents here"), (7, " ".join(long[100:130] + ["changed"] * 2)), (None, "one"), (8, "one")]
