@@ -38,10 +38,12 @@ def words_of(c: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set."""
+    """The shared folder that the cluster names; a local one only where none is set and all tasks run here."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = shared or tempfile.mkdtemp(prefix="inkwell-")
         sc.setCheckpointDir(shared)
     return shared or sc._jsc.sc().getCheckpointDir().get()
@@ -59,7 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again._ik_path = path
+    return again
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._ik_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_sum(

@@ -192,3 +192,55 @@ def test_copies_lose_nothing_but_repeats(odd):
     for r in dedup_substrings(odd).collect():
         kept[r["n_removed"] > 0] += 1
     assert kept[False] > 0
+
+
+def crowd(seed, n):
+    """Texts of one template, of similarity 0.74 to each other."""
+    r = np.random.default_rng(seed)
+    template = [f"w{k}" for k in r.integers(0, 900, 200)]
+    rows = []
+    for k in range(n):
+        words = list(template)
+        for j in r.choice(200, 8, replace=False):
+            words[j] = f"u{k}x{j}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_pairs_grow_in_proportion_to_a_crowd(spark, monkeypatch):
+    """Nearly all pairs of a template's texts are just below the threshold; few are confirmed, and the links are found."""
+    from inkwell.llm import near_dedup
+
+    asked, confirm = [], near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *a: asked.append(pairs.count()) or confirm(pairs, *a))
+    each = {}
+    for n in (400, 800, 1600):
+        rows, before = crowd(n, n), sum(asked)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 2).collect()}
+        each[n] = sum(asked) - before
+    entry = {s: k for k, s in enumerate({s for _, t in rows for s in shingles(t, 2)})}
+    member = np.zeros((n, len(entry)), np.float32)
+    for k, t in rows:
+        member[k, [entry[s] for s in shingles(t, 2)]] = 1
+    both = member @ member.T
+    size = member.sum(axis=1)
+    links = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size - both), 1))
+    found = sum(got[a] == got[b] for a, b in links.tolist())
+    print(f"pairs to confirm {each}, links found {found} of {len(links)}")
+    assert len(links) > 20 and found >= 0.9 * len(links)
+    assert each[1600] < 2 * 2 * each[400] * 1.5 and each[1600] < 0.1 * n * n / 2
+
+
+def test_crowds_of_many_parts_give_the_components_of_all_pairs(spark):
+    """Templates with close copies of their variants: many linked parts share every bucket."""
+    r = np.random.default_rng(4)
+    rows = []
+    for k, t in [x for s in (1, 2) for x in crowd(s, 40)]:
+        for copy in range(int(r.integers(1, 5))):
+            words = t.split()
+            words[int(r.integers(0, 200))] = f"c{copy}"
+            rows.append((len(rows) * 13 % 997, " ".join(words)))
+    got = {i: (x["n_shingles"], x["component_id"], x["kept"]) for i, x in by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)).items()}
+    want = components(rows, 2)
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
