@@ -1,11 +1,17 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Every document gets measures; their distributions are kept as mergeable
-fixed-bucket quantile sketches per (lang, source): a count for each bucket,
-which adds up over partitions in any order, so results never depend on the
-order of the data. A document fails where a measure lies beyond
-``quartile + spread * (q3 - q1) + margin`` of its own group. Groups of fewer
-than ``min_group`` documents take the merged sketches of their language.
+quantile sketches per (lang, source): counts of logarithmic buckets, whose
+values have a relative error of at most ``ERROR``. Counts add up over partitions
+in any order, so results never depend on the order of the data. Each group's
+sketch is merged with that of its language, which counts as ``PRIOR`` documents
+more: the fewer documents a group has, the more its language decides.
+
+A measure may lie ``spread`` scales from its group's median; the scale is the
+interquartile range (as standard deviations) or the mean distance from the
+median, whichever is more, so no threshold is a constant. A document fails where
+a measure lies beyond even when chance is allowed for: ``CHANCE`` standard
+errors of its count, or of the mean length of its words.
 
 Defined results: a null or blank text has no words, all measures 0, and fails
 the base rule (fewer than 10 words). A null language or source is a group of
@@ -16,7 +22,7 @@ as a measure are replaced in the report. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +33,15 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Measure: (buckets for a unit, margin beyond the fence, whether low values fail too).
-MEASURES = {
-    "symbol_share": (500, 0.05, False),
-    "dup_line_share": (500, 0.30, False),
-    "word_length": (32, 0.70, True),
-}
-SPREAD = 3.0
-MIN_GROUP = 30
+#: Whether too low values of a measure fail too.
+MEASURES = {"symbol_share": False, "dup_line_share": False, "word_length": True}
+#: Relative error of the sketches, and the bucket of 0.
+ERROR = 0.005
+GAMMA = (1 + ERROR) / (1 - ERROR)
+ZERO = -1_000_000
+SPREAD, PRIOR, CHANCE = 4.0, 20, 2.0
+#: Interquartile range of a normal distribution, in standard deviations.
+QUARTILES_APART = 1.349
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -85,107 +92,120 @@ def with_measures(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     n = F.size("_ik_words")
+    out = out.withColumns({"_ik_hashes": F.transform("_ik_words", lambda w: F.xxhash64(w)), "n_words": n.cast("long")})
     windows = F.when(
-        n > WINDOW,
-        F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("_ik_words", i, WINDOW))),
+        F.col("n_words") > WINDOW,
+        F.transform(
+            F.slice("_ik_hashes", F.lit(1), F.col("n_words").cast("int") - WINDOW + 1),
+            lambda h, i: F.xxhash64(h, *[F.get("_ik_hashes", i + k) for k in range(1, WINDOW)]),
+        ),
     ).otherwise(F.array().cast("array<long>"))
-    out = out.withColumns({"_ik_windows": windows, "n_words": n.cast("long")})
+    out = out.withColumn("_ik_windows", windows)
     out = out.withColumns({
         "n_lines": F.size("_ik_lines").cast("long"),
         "n_dup_lines": (F.size("_ik_lines") - F.size(F.array_distinct("_ik_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_ik_windows")).cast("long"),
-    }).drop("_ik_words", "_ik_lines", "_ik_windows")
+    }).drop("_ik_words", "_ik_lines", "_ik_hashes", "_ik_windows")
     some = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "symbol_share": some("n_symbols", "word_chars"),
         "dup_line_share": some("n_dup_lines", "n_lines"),
-        "word_length": F.log1p(some("word_chars", "n_words")),
+        "word_length": some("word_chars", "n_words"),
     })
 
 
+def bucket_of(x: Column) -> Column:
+    return F.when(x > 0, F.ceil(F.round(F.log(x) / math.log(GAMMA), 9)).cast("int")).otherwise(F.lit(ZERO))
+
+
+def value_of(bucket: Column) -> Column:
+    """The middle of a bucket, from which no value in it is further than ``ERROR``."""
+    return F.when(bucket == ZERO, F.lit(0.0)).otherwise(F.exp(bucket * math.log(GAMMA)) * (2 / (GAMMA + 1)))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """Quantile sketches: (lang, source, measure, bucket, n), mergeable by adding n."""
-    buckets = F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * per).cast("int").alias("bucket"))
-        for m, (per, _, _) in MEASURES.items()
-    ])
+    buckets = F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(F.col(m)).alias("bucket")) for m in MEASURES])
     return (
         measured.select("lang", "source", F.explode(buckets).alias("b"))
         .groupBy("lang", "source", "b.measure", "b.bucket").agg(F.count("*").alias("n"))
     )
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q1 and q3 (bucket numbers) and rows of each group's sketch."""
-    group = Window.partitionBy(*keys, "measure")
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    ranked = merged.withColumns({"upto": F.sum("n").over(upto), "rows": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(
-        at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("rows").alias("rows")
-    )
-
-
-def thresholds(sketch: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
     """One row a (lang, source) with ``low_``/``high_`` limits of every measure."""
-    own, wide = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"])
+    language = Window.partitionBy("lang", "measure")
+    wide = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     wide = wide.select(
-        F.col("lang").alias("wide_lang"), F.col("measure").alias("wide_measure"),
-        F.col("q1").alias("wide_q1"), F.col("q3").alias("wide_q3"),
+        F.col("lang").alias("_ik_lang"), F.col("measure").alias("_ik_measure"), "bucket",
+        (prior * F.col("n") / F.sum("n").over(language)).alias("weight"),
+    )
+    groups = sketch.select("lang", "source", "measure").distinct()
+    shared = groups.join(wide, groups["lang"].eqNullSafe(wide["_ik_lang"]) & (groups["measure"] == wide["_ik_measure"]))
+    own = sketch.select("lang", "source", "measure", "bucket", F.col("n").cast("double").alias("weight"))
+    merged = own.unionByName(shared.select(*own.columns)).groupBy("lang", "source", "measure", "bucket").agg(F.sum("weight").alias("weight"))
+
+    group = Window.partitionBy("lang", "source", "measure")
+    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumns({"upto": F.sum("weight").over(upto), "all": F.sum("weight").over(group)})
+    at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q - 1e-6, value_of(F.col("bucket")))).over(group)
+    ranked = ranked.withColumns({"q1": at(0.25), "median": at(0.5), "q3": at(0.75)})
+    away = F.sum(F.col("weight") * F.abs(value_of(F.col("bucket")) - F.col("median"))) / F.max("all")
+    scales = ranked.groupBy("lang", "source", "measure").agg(
+        F.max("median").alias("median"), F.greatest((F.max("q3") - F.max("q1")) / QUARTILES_APART, away).alias("scale")
     )
-    both = own.join(wide, own["lang"].eqNullSafe(wide["wide_lang"]) & (own["measure"] == wide["wide_measure"]))
-    few = F.col("rows") < min_group
-    q1, q3 = F.when(few, F.col("wide_q1")).otherwise(F.col("q1")), F.when(few, F.col("wide_q3")).otherwise(F.col("q3"))
-    both = both.select("lang", "source", "measure", q1.alias("q1"), q3.alias("q3"))
     limits = []
-    for m, (per, margin, low) in MEASURES.items():
-        reach = spread * (F.col("q3") - F.col("q1")) / per + margin
+    for m, low in MEASURES.items():
         mine = F.col("measure") == m
-        limits.append(F.max(F.when(mine, (F.col("q3") + 1) / per + reach)).alias(f"high_{m}"))
+        limits.append(F.max(F.when(mine, F.col("median") + spread * F.col("scale"))).alias(f"high_{m}"))
         if low:
-            limits.append(F.max(F.when(mine, F.col("q1") / per - reach)).alias(f"low_{m}"))
-    return both.groupBy("lang", "source").agg(*limits)
+            limits.append(F.max(F.when(mine, F.col("median") - spread * F.col("scale"))).alias(f"low_{m}"))
+    return scales.groupBy("lang", "source").agg(*limits)
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with ``kept``. Limits are a row a group; Spark picks the join by their size."""
     limits = limits.withColumnsRenamed({"lang": "_ik_lang", "source": "_ik_source"})
-    fine = []
-    for m, (_, _, low) in MEASURES.items():
-        fine.append(F.col(m) <= F.col(f"high_{m}"))
-        if low:
-            fine.append(F.col(m) >= F.col(f"low_{m}"))
     joined = measured.join(
         limits,
         measured["lang"].eqNullSafe(limits["_ik_lang"]) & measured["source"].eqNullSafe(limits["_ik_source"]),
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & reduce(lambda a, b: a & b, fine))
+    # What is left of a measure when chance is allowed for; words vary by half their mean length.
+    least = lambda count: F.col(count) - CHANCE * F.sqrt(count)
+    some = lambda a, b: F.when(F.col(b) > 0, a / F.col(b)).otherwise(F.lit(0.0))
+    chance = CHANCE / 2 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    fine = (
+        (some(least("n_symbols"), "word_chars") <= F.col("high_symbol_share") + 1e-9)
+        & (some(least("n_dup_lines"), "n_lines") <= F.col("high_dup_line_share") + 1e-9)
+        & (F.col("word_length") * (1 - chance) <= F.col("high_word_length") + 1e-9)
+        & (F.col("word_length") * (1 + chance) >= F.col("low_word_length") - 1e-9)
+    )
+    return joined.withColumn("kept", ~F.col("base_failed") & fine)
 
 
-def quality_report(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_report(docs: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
     """One row a document: doc_id, the counts, base_failed, kept and the measures.
 
     The measures are written first, so texts are read and split once.
     """
     slim = written(
         with_measures(docs).select(
-            F.col("_ik_row.doc_id").alias("doc_id"), "lang", "source", *COUNTS, "base_failed", *MEASURES
+            F.col("_ik_row.doc_id").alias("doc_id"), "lang", "source", *COUNTS, "n_lines", "base_failed", *MEASURES
         ),
         "measures",
     )
-    out = judged(slim, thresholds(sketches(slim), spread, min_group))
+    out = judged(slim, thresholds(sketches(slim), spread, prior))
     return out.select("doc_id", *COUNTS, "base_failed", "kept", *MEASURES)
 
 
-def filter_quality(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def filter_quality(docs: DataFrame, spread: float = SPREAD, prior: float = PRIOR) -> DataFrame:
     """The documents that pass, with all their columns.
 
     Documents and measures are written together: each text is measured once and
     never shuffled, and the filter can't be pushed below the measures.
     """
     measured = written(with_measures(docs), "measured")
-    limits = thresholds(sketches(measured), spread, min_group)
+    limits = thresholds(sketches(measured), spread, prior)
     return judged(measured, limits).where("kept").select("_ik_row.*")

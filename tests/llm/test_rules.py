@@ -1,9 +1,12 @@
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
 from inkwell.llm.license_scan import BASE, MIN_SCORE, TEMPLATES, scan_licenses
-from inkwell.llm.quality_rules import filter_quality, quality_report
+from inkwell.llm.quality_rules import GAMMA, PRIOR, filter_quality, quality_report
 from inkwell.llm.warc_revisits import canonical_url, records_of_pages, resolve_revisits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,6 +102,46 @@ def test_quality_counts(docs, rows):
     assert {r["doc_id"] for r in filter_quality(docs).collect()} == kept
 
 
+def verdicts(rows):
+    """kept of each row, from weighted values instead of running sums."""
+    bucket = lambda x: -math.inf if x <= 0 else math.ceil(round(math.log(x) / math.log(GAMMA), 9))
+    middle = lambda b: 0.0 if b == -math.inf else 2 * GAMMA**b / (GAMMA + 1)
+    measured, kept = [], []
+    for _, text, lang, source, *_ in rows:
+        n, chars, symbols, dup, _, failed = counts(text)
+        lines = sum(bool(WORD.search(line)) for line in (text or "").split("\n"))
+        measured.append((lang, source, n, chars, symbols, dup, lines, failed, (symbols / chars if chars else 0, dup / lines if lines else 0, chars / n if n else 0)))
+    for lang, source, n, chars, symbols, dup, lines, failed, values in measured:
+        limits = []
+        for m in range(3):
+            everywhere = Counter(bucket(x[-1][m]) for x in measured if x[0] == lang)
+            weights = Counter(bucket(x[-1][m]) for x in measured if x[:2] == (lang, source))
+            for b, k in everywhere.items():
+                weights[b] += PRIOR * k / everywhere.total()
+            order = sorted(weights)
+            upto = [sum(weights[b] for b in order[: k + 1]) for k in range(len(order))]
+            q1, q2, q3 = (middle(next(b for b, u in zip(order, upto, strict=True) if u >= q * upto[-1] - 1e-6)) for q in (0.25, 0.5, 0.75))
+            scale = max((q3 - q1) / 1.349, sum(weights[b] * abs(middle(b) - q2) for b in order) / upto[-1])
+            limits.append((q2 - 4 * scale, q2 + 4 * scale))
+        low = lambda c, of: (c - 2 * c**0.5) / of if of else 0
+        spread = 1 / max(n, 1) ** 0.5
+        kept.append(
+            not failed and low(symbols, chars) <= limits[0][1] + 1e-9 and low(dup, lines) <= limits[1][1] + 1e-9
+            and values[2] * (1 - spread) <= limits[2][1] + 1e-9 and values[2] * (1 + spread) >= limits[2][0] - 1e-9
+        )
+    return kept
+
+
+def test_quality_verdicts(spark, rows):
+    r = random.Random(6)
+    junk = [(70_000 + k, " ".join(r.choices(["#$%", "word", "||", "other", "longerwordsthanusual" * 2], k=30)) + f" {k}", r.choice(["en", "de", None]), r.choice(["web", "code"]), 0) for k in range(20)]
+    lists = [(80_000 + k, "\n".join([f"line of some words {j % (3 + k)} {k}" for j in range(40)]), "en", "web", 0) for k in range(6)]
+    every = [*rows, *junk, *lists]
+    got = {x["doc_id"]: x["kept"] for x in quality_report(spark.createDataFrame(every, "doc_id long, text string, lang string, source string, n_chars int").repartition(5)).collect()}
+    want = {row[0]: k for row, k in zip(every, verdicts(every), strict=True)}
+    assert got == want and any(want.values()) and sum(not k for (i, *_), k in zip(every, want.values(), strict=True) if i >= 70_000) > 5
+
+
 def test_quality_thresholds_adapt(spark):
     """A text of symbols fails among prose and passes where its source is like that."""
     prose = "these are plain words of a text that goes on and on for quite some while number"
@@ -118,8 +161,6 @@ RECORD = "record_id long, url string, ts long, kind string, etag string, last_mo
 
 
 def test_revisits(spark):
-    import random
-
     r = random.Random(2)
     urls = ["http://A.example/x?b=2&a=1#f", "https://a.example/x/?a=1&b=2&utm_source=z", "a.example:80/y", None]
     rows = []
