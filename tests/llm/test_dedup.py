@@ -153,7 +153,7 @@ def test_null_and_reused_ids_are_rows_of_their_own(spark):
 
 def items(rows):
     long = next(t for _, t, *_ in rows if t and len(t) > 50_000).split()
-    return [(1, " ".join(long[500:540])), (2, " ".join(long[900:930]).upper()), (3, "two words"), (4, None), (5, ""), (6, "not in any of the documents here"), (7, " ".join(long[100:130] + ["changed"] * 2)), (None, "one"), (8, "one")]
+    return [(1, " ".join(long[500:540])), (2, " ".join(long[900:930]).upper()), (3, "two words"), (4, None), (5, ""), (6, "not in any of the documents here"), (7, " ".join(long[100:130] + ["changed"] * 2)), (None, "one"), (8, "one"), (None, " ".join(long[3000:3400])), (9, " ".join([*long[5000:5090], *["other"] * 15])), (10, " ".join([*long[5000:5090], *["other"] * 25]))]
 
 
 def test_contamination(spark, docs, rows):
@@ -163,7 +163,7 @@ def test_contamination(spark, docs, rows):
         words = WORD.findall((text or "").translate(LOWER))
         for item, wanted in items(rows):
             width = min(5, len(WORD.findall(wanted or "")))
-            if item is None or not width:
+            if not width:
                 continue
             own = shingles(wanted, width)
             both = len(own & {tuple(words[k : k + width]) for k in range(len(words) - width + 1)})
@@ -176,6 +176,14 @@ def test_contamination(spark, docs, rows):
     assert sum(len(b) for b in item_blocks(benchmark, 300)) == benchmark.count()
 
 
+def test_null_ids_are_searched(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, f"before {words} after"), (None, "clean"), (1, words.upper()), (2, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, words), (5, None)], "item_id long, text string")
+    assert sorted((tuple(r)[:4] for r in find_contamination(docs, benchmark).collect()), key=str) == [(1, None, 26, 26), (None, None, 26, 26)]
+    assert {(r["doc_id"], r["text"]) for r in remove_contaminated(docs, benchmark).collect()} == {(None, "clean"), (2, None)}
+
+
 def test_odd_and_empty_tables(spark, odd, nothing):
     n = odd.count()
     assert dedup_repeated_bytes(odd).count() == dedup_substrings(odd).count() == near_duplicates(odd).count() == n
