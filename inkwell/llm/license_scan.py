@@ -9,10 +9,11 @@ place of that word in a file proposes an alignment, and no other can count,
 however many notices the file holds.
 
 Beside it, the base phrases are counted at every place where their words stand
-consecutively. Defined results: null and empty texts have no words, empty
-labels and score 0; very long texts are scanned whole; overlapping places count
-each; repeated rows are files of their own; extra columns are ignored; an empty
-table gives an empty result.
+consecutively; each is a template of its own, so a file that has one scores 1.
+Defined results: null and empty texts have no words, empty labels and score 0;
+very long texts are scanned whole; overlapping places count each; repeated rows
+are files of their own; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,22 +28,36 @@ from .common import ascii_lower, text_of
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, notice, mandatory key phrase.
+# Label, notice (lower-cased words, as published), mandatory key phrase.
 TEMPLATES = [
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "source and binary forms"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc-by", "licensed under cc by 4 0", "cc by"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", "associated cc0 with"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
     ("gpl", "this work is licensed under the gnu general public license version 3", "general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license"),
     ("gpl", "this program is free software you can redistribute it under the terms of the gnu general public license", "gnu general public license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission is hereby granted free of charge"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
     ("mit", "released under the mit license", "mit license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     ("reserved", "copyright all rights reserved", "all rights reserved"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "without any express or implied warranty"),
 ]
-#: Words of the notices that are too common in prose to be indexed.
-COMMON = set("a all and any are by can code form forms in is it of or person source the this to under use with without work you 0 2 3 4".split())
 MIN_SCORE = 0.5
 
 
@@ -61,11 +76,11 @@ def _phrase_starts(words: Column, phrase: str) -> Column:
 
 
 def _index() -> tuple[list[tuple[str, int, int]], Column]:
-    """Postings (word, template, position) of the key phrases' indexed words, and the templates."""
+    """Postings (word, template, position) of the key phrases' words, and the templates."""
     starts = [len(notice[: re.search(rf"\b{key}\b", notice).start()].split()) for _, notice, key in TEMPLATES]
     postings = [
         (w, t, at + k)
-        for t, ((_, _, key), at) in enumerate(zip(TEMPLATES, starts, strict=True)) for k, w in enumerate(key.split()) if w not in COMMON
+        for t, ((_, _, key), at) in enumerate(zip(TEMPLATES, starts, strict=True)) for k, w in enumerate(key.split())
     ]
     lit = lambda words: F.array(*[F.lit(w) for w in words])
     templates = F.array(*[
@@ -138,5 +153,5 @@ def scan_licenses(files: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         F.array_min("_ik_starts").cast("long").alias("first_word"), F.array_max("_ik_starts").cast("long").alias("last_word"),
         joined(F.col("_ik_labels")).alias("base_labels"),
         joined(F.concat("_ik_labels", F.transform("_ik_found", lambda x: x["label"]))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("_ik_found", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+        F.when(F.size("_ik_starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_ik_found", lambda x: x["score"])), F.lit(0.0))).alias("score"),
     )
