@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 
 class Recognizer(Protocol):
     def __call__(self, lines: DataFrame, image: str, order: list[str]) -> DataFrame:
@@ -20,11 +22,11 @@ def empty(lines: DataFrame, image: str, order: list[str]) -> DataFrame:
 
 
 def demo(texts: list[str]) -> Recognizer:
-    """The texts in scan order; the last one repeats. Numbers all rows, so for small inputs."""
+    """The texts in scan order; the last one repeats."""
 
     def run(lines: DataFrame, image: str, order: list[str]) -> DataFrame:
-        at = F.least(F.row_number().over(Window.orderBy(*order)), F.lit(len(texts)))
-        return lines.withColumn("ocr_text", F.element_at(F.array(*[F.lit(t) for t in texts]), at))
+        at = F.least(F.col("_rank") + 1, F.lit(len(texts))).cast("int")
+        return numbered(lines, order, "_rank").withColumn("ocr_text", F.element_at(F.array(*[F.lit(t) for t in texts]), at)).drop("_rank")
 
     return run
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """All sources, tagged, with columns matched by name."""
@@ -70,8 +72,8 @@ def group_split(rows: DataFrame, group: str, val: float = 0.15, test: float = 0.
 
 def shard(rows: DataFrame, order: list[str], n: int, prefix: str = "annotator") -> DataFrame:
     """Round robin in order: annotator_id of each row."""
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("annotator_id", F.concat(F.lit(f"{prefix}_"), (F.pmod(rank, F.lit(n)) + 1).cast("string")))
+    name = F.concat(F.lit(f"{prefix}_"), (F.pmod("_rank", F.lit(n)) + 1).cast("string"))
+    return numbered(rows, order, "_rank").withColumn("annotator_id", name).drop("_rank")
 
 
 def augment(rows: DataFrame, copies: int = 3, image: str = "image") -> DataFrame:

@@ -25,18 +25,31 @@ def cer(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     ).withColumn("percent", percent(F.col("edits") / F.col("length")))
 
 
-def token_edits(ref: Column, hyp: Column) -> Column:
-    """Word edit distance: each distinct word of the pair becomes one character."""
-    tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
-    r, h = tokens(ref), tokens(hyp)
-    vocabulary = F.array_union(r, h)
-    coded = lambda a: F.array_join(F.transform(a, lambda x: F.chr(F.array_position(vocabulary, x) + 32)), "")
-    return F.levenshtein(coded(r), coded(h))
+def tokens_of(c: str) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
+
+
+def token_edits(ref: str, hyp: str) -> Column:
+    """Word edit distance: each distinct word of the pair becomes a code point of its own.
+
+    There are 1.1 million of these, past the surrogates; a pair of more
+    distinct words fails, its table of distances could not be held either.
+    """
+    r, h = tokens_of(ref), tokens_of(hyp)
+
+    def distance(vocabulary: Column) -> Column:
+        def coded(words: Column) -> Column:
+            place = lambda x: F.array_position(vocabulary, x)
+            point = lambda x: F.lpad(F.hex(place(x) + F.when(place(x) < 0xD800, 0).otherwise(0x800)), 8, "0")
+            return F.decode(F.unhex(F.array_join(F.transform(words, point), "")), "UTF-32")
+
+        return F.levenshtein(coded(r), coded(h))
+
+    return F.get(F.transform(F.array(F.array_union(r, h)), distance), 0)
 
 
 def wer(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """Word errors over reference words; texts of up to some 200 distinct words."""
-    n = F.size(F.filter(F.split(F.coalesce(ref, F.lit("")), r"\s+"), lambda x: x != ""))
+    """Word errors over reference words; an empty reference counts one."""
     return df.agg(
-        F.sum(token_edits(F.col(ref), F.col(hyp))).cast("long").alias("edits"), F.sum(F.greatest(F.lit(1), n)).cast("long").alias("length"),
+        F.sum(token_edits(ref, hyp)).cast("long").alias("edits"), F.sum(F.greatest(F.lit(1), F.size(tokens_of(ref)))).cast("long").alias("length"),
     ).withColumn("percent", percent(F.col("edits") / F.col("length")))

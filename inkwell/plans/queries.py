@@ -15,12 +15,13 @@ from ..operators import boxes as B
 from ..operators import datasets as D
 from ..operators import entities as E
 from ..operators import metrics as M
-from ..operators.lexicon import best_matches, load_lexicon
+from ..operators.lexicon import best_matches, demo_matches, load_lexicon
+from . import matching_sql as S
 from .views import INK, LINES, SHEET, oracle, spark_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-WITH = f"WITH rx AS ({oracle(LINES)}), ink AS ({oracle(INK)}), sheet AS ({oracle(SHEET)})"
+WITH = f"WITH RECURSIVE rx AS ({oracle(LINES)}), ink AS ({oracle(INK)}), sheet AS ({oracle(SHEET)})"
 
 
 def query(sql: str | None = None):
@@ -50,22 +51,7 @@ def _words(lines: DataFrame) -> DataFrame:
     return words.select("line_id", F.col("pos").alias("word_idx"), T.compose_id(F.col("line_id"), "w", F.col("pos")).alias("word_id"), "ocr_text", (F.col("x1") + 24 * F.col("pos")).alias("x1_page"))
 
 
-# DuckDB forms of the native text functions, on the ASCII view.
-def _sql_normal(c: str) -> str:
-    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
-
-
-def _sql_clean(c: str) -> str:
-    c = f"regexp_replace({_sql_normal(c)}, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')"
-    for p in (T.FORMS, T.DOSAGE, T.FREQUENCY, T.ROUTE):
-        c = f"regexp_replace({c}, '{p}', '', 'gi')"
-    return _sql_normal(c)
-
-
-def _sql_all(c: str, p: str, upper: bool) -> str:
-    x = _sql_normal("x")
-    found = f"list_transform(regexp_extract_all({c}, '(?i){p}'), lambda x: {f'upper({x})' if upper else x})"
-    return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), '; ')"
+_sql_normal, _sql_clean, _sql_all = S.normal, S.cleaned, S.all_found
 
 
 @query("SELECT page_id, region_id, line_id, text, x1, y1, x2, y2 FROM rx")
@@ -104,7 +90,7 @@ def clean_candidates(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_id", T.clean_candidate(F.col("text")).alias("cleaned"))
 
 
-@query()
+@query(f"texts AS (SELECT DISTINCT text FROM rx),{S.CANDIDATES} SELECT line_id, array_to_string(cands, '|') AS candidates FROM rx JOIN cands ON rx.text = cands.text")
 def candidate_ngrams(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_id", F.array_join(T.candidates(F.col("text")), "|").alias("candidates"))
 
@@ -114,37 +100,48 @@ def lexicon_distinct_sorted(spark, sf_dir):
     return _lexicon(spark, sf_dir)
 
 
-@query()
+@query(f"texts AS (SELECT DISTINCT text FROM rx),{S.BEST} SELECT text, drug, score, matched_candidate FROM best")
 def lexicon_best_match(spark, sf_dir):
     return best_matches(_lines(spark, sf_dir), "text", _lexicon(spark, sf_dir))
 
 
-@query()
+_PARSED = f"{S.LINE_ROWS}, {S.ENTITIES}"
+
+
+@query(f"""texts AS (SELECT DISTINCT lower(text) AS a FROM rx), lex AS (SELECT p_name AS drug, lower(p_name) AS b, row_number() OVER (ORDER BY p_name) AS d FROM (SELECT DISTINCT p_name FROM part) q),
+ asked AS (SELECT a, b FROM (SELECT DISTINCT lower(hyp_name) AS a FROM rx) t, (SELECT DISTINCT b FROM lex) l),{S.RATIOS},
+ best AS (SELECT a, drug, ratio FROM (SELECT r.a, l.drug, r.ratio, row_number() OVER (PARTITION BY r.a ORDER BY r.ratio DESC, l.d) AS n FROM ratios r JOIN lex l ON l.b = r.b) q WHERE n = 1)
+ SELECT line_id, CASE WHEN ratio > 0 THEN drug ELSE '' END AS drug, round_even(ratio, 4) AS score, CASE WHEN round_even(ratio, 4) >= 0.72 THEN 'matched' ELSE 'needs_review' END AS status FROM rx JOIN best ON lower(hyp_name) = a""")
+def lexicon_demo_match(spark, sf_dir):
+    return demo_matches(_lines(spark, sf_dir), "hyp_name", _lexicon(spark, sf_dir)).select("line_id", "drug", "score", "status")
+
+
+@query(f"{_PARSED} SELECT * FROM entities")
 def entity_parse(spark, sf_dir):
     return E.parse_entities(_lines(spark, sf_dir).select("line_id", "text"), "text", _lexicon(spark, sf_dir)).select("line_id", *E.ENTITIES)
 
 
-@query()
+@query(f"{_PARSED} SELECT * FROM entities WHERE keep_for_output = 'yes'")
 def entity_kept(spark, sf_dir):
     return E.kept(entity_parse(spark, sf_dir))
 
 
-@query()
+@query(f"{_PARSED} SELECT * FROM entities WHERE validation_status = 'matched'")
 def entity_matched(spark, sf_dir):
     return E.with_status(entity_parse(spark, sf_dir), "matched")
 
 
-@query()
+@query(f"{_PARSED} SELECT * FROM entities WHERE validation_status = 'dose_only'")
 def entity_dose_only(spark, sf_dir):
     return E.with_status(entity_parse(spark, sf_dir), "dose_only")
 
 
-@query()
+@query(f"{_PARSED} SELECT validation_status, count(*) AS n FROM entities GROUP BY 1")
 def status_histogram(spark, sf_dir):
     return E.status_histogram(entity_parse(spark, sf_dir))
 
 
-@query()
+@query(f"""{_PARSED} SELECT *, array_to_string(list_filter([medicine_name, replace(dosage, '; ', ' + '), replace(frequency, '; ', ' + '), replace(route, '; ', ' + ')], lambda x: x <> ''), ' ') AS final_corrected_text FROM entities""")
 def line_rollup(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return E.roll_up(lines.select("line_id", "page_id"), _words(lines), _lexicon(spark, sf_dir)).select("line_id", *E.ENTITIES, "final_corrected_text")
@@ -178,7 +175,11 @@ def cer_micro(spark, sf_dir):
     return M.cer(_lines(spark, sf_dir), "ref_name", "hyp_name")
 
 
-@query()
+_CODED = "array_to_string(list_transform(string_split({c}, ' '), lambda x: chr(CAST(list_position(v, x) AS INT) + 32)), '')"
+
+
+@query(f"""SELECT edits, length, round_even(100.0 * edits / length, 2) AS percent FROM (SELECT CAST(sum(levenshtein({_CODED.format(c='ref_name')}, {_CODED.format(c='hyp_name')})) AS BIGINT) AS edits,
+ CAST(sum(len(string_split(ref_name, ' '))) AS BIGINT) AS length FROM (SELECT ref_name, hyp_name, list_distinct(list_concat(string_split(ref_name, ' '), string_split(hyp_name, ' '))) AS v FROM rx) q) q""")
 def wer_micro(spark, sf_dir):
     return M.wer(_lines(spark, sf_dir), "ref_name", "hyp_name")
 
@@ -341,23 +342,25 @@ def gap_span_merge(spark, sf_dir):
     return B.merge_spans(row_band_islands(spark, sf_dir), "region_id", 1)
 
 
-@query()
+@query(f"{S.BANDS} SELECT * FROM folded")
 def band_merge_fold(spark, sf_dir):
     return B.merge_bands(_lines(spark, sf_dir), "page_id", 4)
 
 
-@query()
+@query(f"{S.WORDS} SELECT * FROM folded")
 def word_merge_fold(spark, sf_dir):
     return B.merge_words(_lines(spark, sf_dir), "page_id", 4)
 
 
-@query()
+@query(f"{S.ATTACHED}, ends AS (SELECT page_id, unnest(arg_max(boxes, k)) AS b FROM grown GROUP BY page_id) SELECT page_id, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2 FROM ends")
 def attach_small(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return B.attach_small(lines.where("x2 - x1 >= 60"), lines.where("x2 - x1 < 60"), "page_id", 40)
 
 
-@query()
+@query(f"""{S.BANDS}, sets AS (SELECT page_id, 'lines' AS method, 0 AS seq, greatest(1, y2 - y1) AS h FROM rx UNION ALL SELECT page_id, 'bands', 1, greatest(1, y2 - y1) FROM folded),
+ scored AS (SELECT page_id, method, seq, count(*) AS n, count(*) FILTER (h > 0.32 * 480) AS giant, round_even(stddev_pop(h), 9) AS spread, round_even(sum(h) / 480.0 - 0.32, 9) AS away FROM sets GROUP BY 1, 2, 3)
+ SELECT page_id, method, n FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n - 2 * giant DESC, spread, abs(away), seq) AS k FROM scored) q WHERE k = 1""")
 def candidate_set_choice(spark, sf_dir):
     boxes = _lines(spark, sf_dir).select("page_id", "x1", "y1", "x2", "y2")
     both = boxes.withColumns({"method": F.lit("lines"), "seq": F.lit(0)}).unionByName(

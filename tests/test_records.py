@@ -15,7 +15,8 @@ from inkwell.operators import boxes as B
 from inkwell.operators import datasets as D
 from inkwell.operators import entities as E
 from inkwell.operators import metrics as M
-from inkwell.operators.lexicon import best_matches, load_lexicon
+from inkwell.operators.lexicon import best_matches, demo_matches, load_lexicon
+from inkwell.operators.numbering import numbered
 from inkwell.sources import readers, sinks
 from inkwell.streaming.files import follow
 
@@ -73,6 +74,34 @@ def test_candidates_and_matches(spark, lexicon):
     assert found == {x: best(x) for x in LINES if x is not None}
 
 
+def test_lexicon_in_blocks(spark, lexicon):
+    """Blocks of one name each give what one block gives."""
+    df = spark.createDataFrame([(x,) for x in LINES if x is not None], "text string")
+    found = {r["text"]: (r["drug"], r["score"], r["matched_candidate"]) for r in best_matches(df, "text", lexicon, block_bytes=8).collect()}
+    assert found == {x: best(x) for x in LINES if x is not None}
+    assert best_matches(df, "text", lexicon.limit(0)).where("drug <> '' OR score > 0").isEmpty()
+
+
+def test_demo_matches(spark, lexicon):
+    df = spark.createDataFrame([(x,) for x in LINES], "text string")
+    got = {r["text"]: (r["drug"], r["score"], r["status"]) for r in demo_matches(df, "text", lexicon).collect()}
+    names = sorted({norm(n) for n in NAMES} - {""})
+    for x in LINES:
+        ratios = [SequenceMatcher(None, (x or "").lower(), n.lower()).ratio() for n in names]
+        top = max(ratios)
+        name = names[ratios.index(top)] if top else ""
+        assert got[x] == (name, round(top, 4), "matched" if round(top, 4) >= 0.72 else "needs_review")
+
+
+def test_numbers_of_rows(spark):
+    r = random.Random(1)
+    rows = [(r.randrange(300), f"k{k:05d}") for k in range(30_000)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(7)
+    got = {(x["a"], x["b"]): x["n"] for x in numbered(df, ["a", "b"], "n").collect()}
+    assert got == {x: k for k, x in enumerate(sorted(rows))}
+    assert numbered(df.limit(0), ["a"], "n").isEmpty()
+
+
 def test_entities(spark, lexicon):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)], "id long, text string")
     got = {r["id"]: r for r in E.parse_entities(df, "text", lexicon).collect()}
@@ -191,6 +220,11 @@ def test_error_rates(spark):
     assert w["edits"] == sum(edits((a or "").split(), (b or "").split()) for a, b in pairs)
     assert w["length"] == sum(max(1, len((a or "").split())) for a, _ in pairs)
     assert c["edits"] == sum(edits(a or "", b or "") for a, b in pairs)
+    r = random.Random(7)
+    words = [f"word{k}" for k in range(400)]
+    other = [x if r.random() < 0.9 else r.choice(words) for x in words if r.random() < 0.95]
+    many = [(" ".join(words), " ".join(other)), (" ".join(words[::-1]), " ".join(words[:300]))]
+    assert M.wer(spark.createDataFrame(many, "r string, h string"), "r", "h").first()["edits"] == sum(edits(a.split(), b.split()) for a, b in many)
 
 
 def test_annotations(spark):
