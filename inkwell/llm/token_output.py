@@ -108,14 +108,15 @@ def letter_runs(tokenizer) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts; white-space separated chunks are encoded once and remembered.
-
-    The tokenizer never looks across white space, so the ids of a text are
-    those of its chunks in order. Only ASCII white space cuts: all else,
-    special tokens included, stays inside a chunk. Where ``letter_runs`` holds,
-    a chunk that ends in a letter or digit and marks after it is looked up as
-    those two parts, and words of Latin-1 letters go to the same model in lower
-    case without the normalizer and the pattern, which leave them as they are.
+    """Ids of whole texts.
+
+    Where ``letter_runs`` holds, the tokenizer never looks across white space:
+    the ids of a text are those of its chunks in order, and each is encoded once
+    and remembered. Only ASCII white space cuts: all else, special tokens
+    included, stays inside a chunk. A chunk that ends in a letter or digit and
+    marks after it is looked up as those two parts, and words of Latin-1 letters
+    go to the same model in lower case without the normalizer and the pattern,
+    which leave them as they are. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -159,27 +160,22 @@ class Encoder:
             first = np.array([a for a, _ in got.offsets], np.int64)
             self.keep(part, np.array(got.ids, "<u4"), np.searchsorted(first, starts))
 
-    def look_up(self, pieces: pa.Array, words: pa.Array | None) -> list[bytes]:
+    def look_up(self, pieces: pa.Array, words: pa.Array) -> list[bytes]:
         """The ids of distinct pieces; new ones are encoded, many in a call."""
         each = pieces.to_numpy(zero_copy_only=False).tolist()
         raw = list(map(self.known.get, each))
         new = [k for k, x in enumerate(raw) if x is None]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {"": b""}, [k for k, x in enumerate(each) if x]
-        if words is None:
-            self.learn_any([each[k] for k in new])
-        else:
-            word = words.to_numpy(zero_copy_only=False)
-            self.learn_words([each[k] for k in new if word[k]])
-            self.learn_any([each[k] for k in new if not word[k]])
+        word = words.to_numpy(zero_copy_only=False)
+        self.learn_words([each[k] for k in new if word[k]])
+        self.learn_any([each[k] for k in new if not word[k]])
         for k in new:
             raw[k] = self.known[each[k]]
         return raw
 
     def ids_of(self, chunks: pa.Array) -> pa.Array:
         """A list of ids for each of these distinct chunks."""
-        if self.words is None:
-            return id_lists(self.look_up(chunks, None))
         cut = pc.match_substring_regex(chunks, f"[0-9{LETTERS}][{CLOSING}]+$")
         cores = pc.if_else(cut, pc.ascii_rtrim(chunks, MARKS), chunks)
         tails = pc.replace_with_mask(
@@ -195,6 +191,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where those of each begin; the end of the last follows."""
+        if self.words is None:
+            # Whole texts, with a bounded number of encodings held at once.
+            every = [np.array(x.ids, "<u4") for k in range(0, len(texts), 256) for x in self.tokenizer.encode_batch_fast(texts[k : k + 256].to_pylist(), add_special_tokens=False)]
+            starts = np.zeros(len(every) + 1, np.int64)
+            np.cumsum([len(x) for x in every], out=starts[1:])
+            return np.concatenate([np.zeros(0, "<u4"), *every]), starts
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.values.dictionary_encode()
         each = self.ids_of(coded.dictionary).take(coded.indices)
