@@ -11,7 +11,7 @@ from .license_scan import scan_licenses
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .quality_rules import quality_report
-from .sharding import shard_digest, shuffle_into_shards
+from .sharding import read_shards, shard_digest, shuffle_into_shards, write_shards
 from .substring_dedup import dedup_substrings, substring_digest
 from .suffix_dedup import dedup_repeated_bytes, removed_digest
 from .token_output import read_token_digests, write_tokens
@@ -56,7 +56,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_digest(shuffle_into_shards(read(spark, sf_dir, "documents")))
+    sharded, path = shuffle_into_shards(read(spark, sf_dir, "documents")), shared_path(spark, "shards")
+    write_shards(sharded, path)
+    return shard_digest(read_shards(spark, path, sharded.schema))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,49 +5,62 @@ Pass one scatters the records by a seeded hash into buckets of about
 is a Fisher-Yates shuffle) and deals the resulting global order to the shards,
 round robin. Law ``rows``: shard counts differ by one at most.
 
+A row that stands ``HEAVY`` times or more is scattered copy by copy: one of its
+rows goes on with their number and is multiplied again, so that no bucket holds
+all copies.
+
 Defined results: null texts count no bytes (crc 0 of the empty text); repeated
-rows are separate records in one bucket; a null doc_id is a value like any
-other; extra columns are carried, but for those named like an output column,
-which are replaced; an empty table gives an empty result. Every run over the
-same rows gives the same shards: buckets are sorted before they are shuffled
-and the shuffle is seeded by partition, whose number is fixed. Rows that are
-equal in all columns are interchangeable.
+rows are separate records; a null doc_id is a value like any other; extra
+columns are carried, but for those named like an output column, which are
+replaced; an empty table gives an empty result. Every run over the same rows, in
+any order, gives the same shards: the hash covers all columns (but maps, which
+have none), buckets are sorted before they are shuffled and the shuffle is
+seeded by partition, whose number is fixed. Rows that are equal in all columns
+are interchangeable.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_of
+from .common import text_of, written
 
 OVERHEAD = 16
+HEAVY = 1000
+OUTPUTS = ["size", "bucket", "shard", "slot"]
 
 
 def shuffle_into_shards(
     docs: DataFrame, n_shards: int = 40, seed: int = 20, bucket_bytes: int = 8 << 20, min_buckets: int = 16
 ) -> DataFrame:
     """``docs`` with size, bucket, shard and slot (gapless from 0 in each shard)."""
-    outputs = {"size", "bucket", "shard", "slot"}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in outputs])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
     sized = docs.withColumn("size", F.octet_length(text_of(F.col("text"))).cast("long") + OVERHEAD)
     total = sized.agg(F.sum("size")).first()[0] or 0
     n_buckets = max(min_buckets, math.ceil(total / bucket_bytes))
-    scatter = lambda df: df.withColumn(
-        "bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(n_buckets)).cast("int")
-    )
+    # Each record with a hash of its own: of its columns and, of a heavy row, the number of the copy.
+    columns = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    row = F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("r")
+    rows = sized.select(F.xxhash64(F.lit(seed), *columns).alias("h"), row)
+    heavy = written(rows.groupBy("h").agg(F.count("*").alias("copies")).where(F.col("copies") >= HEAVY), "heavy")
+    known = rows.join(heavy, "h", "left")
+    one = known.where("copies IS NOT NULL").groupBy("h").agg(F.first("r").alias("r"), F.first("copies").alias("copies"))
+    copies = one.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "h", "r")
+    spread = known.where("copies IS NULL").select("h", "r").unionByName(copies.select(F.xxhash64("h", "copy").alias("h"), "r"))
+    scattered = spread.select("h", "r", F.pmod("h", F.lit(n_buckets)).cast("int").alias("bucket"))
     # A row a bucket; the sums ahead number the first record of each.
     ahead = Window.orderBy("_ik_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        scatter(sized.select("doc_id", "text")).groupBy(F.col("bucket").alias("_ik_bucket")).agg(F.count("*").alias("_ik_n"))
+        scattered.groupBy(F.col("bucket").alias("_ik_bucket")).agg(F.count("*").alias("_ik_n"))
         .select("_ik_bucket", F.coalesce(F.sum("_ik_n").over(ahead), F.lit(0)).alias("_ik_first"))
     )
-    key = F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("k")
     buckets = (
-        scatter(sized)
-        .select("bucket", F.struct(key, F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("r")).alias("_ik_e"))
+        scattered
+        .select("bucket", F.struct(F.xxhash64(F.lit(seed + 1), "h").alias("k"), "r").alias("_ik_e"))
         .repartition(n_buckets, "bucket")
         .groupBy("bucket").agg(F.array_sort(F.collect_list("_ik_e"), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)).alias("_ik_all"))
         .sortWithinPartitions("bucket")
@@ -61,14 +74,20 @@ def shuffle_into_shards(
     )
 
 
-def write_shards(sharded: DataFrame, path: str, n_shards: int = 40) -> None:
-    """A folder a shard, records in order of slot."""
+def write_shards(sharded: DataFrame, path: str, rows_a_file: int = 100_000) -> None:
+    """A folder a shard, records in order of slot; a file holds ``rows_a_file`` consecutive ones at most, however large the shards are."""
+    part = F.floor(F.col("slot") / rows_a_file)
     (
-        sharded.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").option("compression", "zstd").parquet(path)
+        sharded.repartition("shard", part).sortWithinPartitions("shard", "slot")
+        .write.partitionBy("shard").option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     )
 
 
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of all shards; ``schema`` is that of the table that was written."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def shard_digest(sharded: DataFrame) -> DataFrame:
     """One row a record: the columns that a shard's reader can check."""
     return sharded.select(

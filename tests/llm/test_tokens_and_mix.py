@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from inkwell.llm.mixing import mix_report, mixed_documents
 from inkwell.llm.queries import TOKENIZER, token_rows
-from inkwell.llm.sharding import shard_digest, shuffle_into_shards, write_shards
+from inkwell.llm.sharding import read_shards, shard_digest, shuffle_into_shards, write_shards
 from inkwell.llm.token_output import Encoder, encoder, make_block, pack, read_block, slices, unpack
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -55,6 +55,16 @@ def test_ids_are_those_of_whole_texts():
             assert ids[starts[k] : starts[k + 1]].tolist() == t.encode(texts[a + k].as_py(), add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_do_not_depend_on_what_came_before(name):
+    path = public_tokenizers.path(name)
+    t, of = Tokenizer.from_file(path), Encoder(path)
+    for texts in (["world hello", "hello world"], ["hello", " world\n\nhello  world", *ODD_TEXTS[2:]], ["world hello"]):
+        ids, starts = of.encode(pa.array(texts, pa.large_string()))
+        got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @settings(deadline=None)
 @given(st.lists(st.text(st.sampled_from("aZéß'.,<|>$1 \u0301\u0331\u212aσ\n"), max_size=20), max_size=6))
 def test_ids_of_any_text(texts):
@@ -125,6 +135,12 @@ def test_mix_of_odd_and_empty_tables(odd, nothing):
     assert mix_report(nothing).count() == mixed_documents(nothing).count() == 0
 
 
+def test_mix_without_ids(spark):
+    rows = [(None, f"words of text number {k}", ["a", None][k % 2]) for k in range(300)]
+    got = mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r["taken"] for r in got) == pytest.approx(1.5 * 5 * 300, abs=2) and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 def test_shards_keep_rows_equal_and_slots_gapless(spark, docs, rows, tmp_path):
     got = shard_digest(shuffle_into_shards(docs)).collect()
     text = {r[0]: r[1] or "" for r in rows}
@@ -139,7 +155,22 @@ def test_shards_keep_rows_equal_and_slots_gapless(spark, docs, rows, tmp_path):
     again = shard_digest(shuffle_into_shards(docs.repartition(2))).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     write_shards(shuffle_into_shards(docs), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    back = read_shards(spark, str(tmp_path / "out"), shuffle_into_shards(docs).schema)
+    assert sorted(map(str, shard_digest(back).collect())) == sorted(map(str, got))
+
+
+def test_shards_of_repeated_rows(spark):
+    """A third and more of one row goes to all buckets; rows that differ in an extra column alone keep their shards in any order."""
+    rows = [(1, "same text", "x", 0)] * 3000 + [(2, "one id and text", f"v{k}", k) for k in range(500)] + [(k, f"text {k}", None, k) for k in range(3, 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string, n int").repartition(5)
+    sharded = shuffle_into_shards(df)
+    got = sharded.collect()
+    assert Counter((r["doc_id"], r["text"], r["more"], r["n"]) for r in got) == Counter(rows)
+    hot = Counter(r["bucket"] for r in got if r["doc_id"] == 1)
+    assert len(hot) == 16 and max(hot.values()) < 2 * 3000 / 16
+    other = shuffle_into_shards(spark.createDataFrame(rows[::-1], "doc_id long, text string, more string, n int").repartition(3)).collect()
+    place = lambda found: sorted((str(r["doc_id"]), str(r["more"]), r["n"], r["shard"], r["slot"]) for r in found)
+    assert place(got) == place(other)
 
 
 def test_shards_of_odd_and_empty_tables(odd, nothing):
