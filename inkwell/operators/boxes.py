@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BOXES = "array<struct<x1:int,y1:int,x2:int,y2:int>>"
+from ..functions import layout as L
 
 
 def islands(profile: DataFrame, group: str, at: str, hit: Column, min_length: int = 1) -> DataFrame:
@@ -36,24 +36,6 @@ def merge_spans(spans: DataFrame, group: str, gap: int) -> DataFrame:
     return numbered.groupBy(group, "_span").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_span")
 
 
-def _union(a: Column, b: Column) -> Column:
-    return F.struct(
-        F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1"),
-        F.greatest(a["x2"], b["x2"]).alias("x2"), F.greatest(a["y2"], b["y2"]).alias("y2"),
-    )
-
-
-def _fold(boxes: Column, joins) -> Column:
-    """Boxes in order; each joins the last one so far, or starts another."""
-    return F.aggregate(
-        boxes, F.array().cast(BOXES),
-        lambda acc, b: F.when(
-            (F.size(acc) > 0) & F.coalesce(joins(F.try_element_at(acc, F.lit(-1)), b), F.lit(False)),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_union(F.try_element_at(acc, F.lit(-1)), b)).cast(BOXES)),
-        ).otherwise(F.concat(acc, F.array(b).cast(BOXES))),
-    )
-
-
 def _collected(boxes: DataFrame, group: str, first: str, second: str) -> DataFrame:
     rest = [c for c in ("x1", "y1", "x2", "y2") if c not in (first, second)]
     order = [first, second, *rest]
@@ -62,26 +44,32 @@ def _collected(boxes: DataFrame, group: str, first: str, second: str) -> DataFra
     return boxes.groupBy(group).agg(sorted_boxes.alias("_b")).select(group, F.transform("_b", as_box).alias("boxes"))
 
 
-def merge_bands(boxes: DataFrame, group: str, gap: int) -> DataFrame:
-    """Line boxes by (y1, x1) that overlap the last band vertically, or whose middles are near, join it."""
+def _exploded(rows: DataFrame, group: str, boxes: Column) -> DataFrame:
+    return rows.select(group, F.explode(boxes).alias("b")).select(group, "b.*")
 
-    def joins(p: Column, b: Column) -> Column:
-        overlap = F.least(p["y2"], b["y2"]) - F.greatest(p["y1"], b["y1"])
-        middles = F.abs((p["y1"] + p["y2"]) / 2 - (b["y1"] + b["y2"]) / 2)
-        return (overlap > 0) | (middles <= F.greatest(F.lit(float(gap)), 0.65 * (p["y2"] - p["y1"])))
 
-    return _collected(boxes, group, "y1", "x1").select(group, F.explode(_fold(F.col("boxes"), joins)).alias("b")).select(group, "b.*")
+def merge_bands(boxes: DataFrame, group: str, gap: int) -> DataFrame:
+    """Line boxes by (y1, x1) that overlap the last band vertically, or whose middles are near, join it."""
+    return _exploded(_collected(boxes, group, "y1", "x1"), group, L.bands(F.col("boxes"), F.lit(gap)))
 
 
 def merge_words(boxes: DataFrame, group: str, gap: int) -> DataFrame:
     """Components by (x1, y1) within ``gap`` of the last word and close to it vertically join it."""
+    return _exploded(_collected(boxes, group, "x1", "y1"), group, L.runs_of_words(F.col("boxes"), F.lit(gap)))
+
+
+def band_components(boxes: DataFrame, group: str, tolerance: int) -> DataFrame:
+    """Components by (middle, x1) each join the first of all bands whose middle is near."""
+    return _exploded(_collected(boxes, group, "y1", "x1"), group, L.first_fit(F.col("boxes"), F.lit(tolerance)))
+
 
-    def joins(p: Column, b: Column) -> Column:
-        overlap = F.least(p["y2"], b["y2"]) - F.greatest(p["y1"], b["y1"])
-        slack = F.greatest(F.lit(4), (0.35 * (p["y2"] - p["y1"])).cast("int"))
-        return (b["x1"] - p["x2"] <= gap) & (overlap > -slack)
+def refine_lines(boxes: DataFrame, profiles: DataFrame, group: str) -> DataFrame:
+    """Line boxes cut apart at the row of least ink between neighbours.
 
-    return _collected(boxes, group, "x1", "y1").select(group, F.explode(_fold(F.col("boxes"), joins)).alias("b")).select(group, "b.*")
+    ``profiles`` has for each group row_ink (array), height and median_height.
+    """
+    joined = _collected(boxes, group, "y1", "x1").join(profiles.select(group, "row_ink", "height", "median_height"), group)
+    return _exploded(joined, group, L.refined(F.col("boxes"), F.col("row_ink"), F.col("median_height"), F.col("height")))
 
 
 def choose_candidates(sets: DataFrame, group: str, height: Column) -> DataFrame:
@@ -108,15 +96,4 @@ def attach_small(words: DataFrame, small: DataFrame, group: str, distance: int)
     """
     few = _collected(small, group, "x1", "y1").withColumnRenamed("boxes", "small")
     joined = _collected(words, group, "x1", "y1").join(few, group, "left")
-
-    def away(w: Column, s: Column) -> Column:
-        x, y = (s["x1"] + s["x2"]) / 2, (s["y1"] + s["y2"]) / 2
-        return F.greatest(F.lit(0.0), w["x1"] - x, x - w["x2"]) + F.abs(y - (w["y1"] + w["y2"]) / 2) * 0.35
-
-    def step(acc: Column, s: Column) -> Column:
-        near = F.array_min(F.transform(acc, lambda w, i: F.struct(away(w, s).alias("d"), i.alias("i"))))
-        return F.transform(acc, lambda w, i: F.when((i == near["i"]) & (near["d"] <= distance), _union(w, s)).otherwise(w))
-
-    grown = F.aggregate("boxes", F.array().cast(BOXES), lambda a, b: F.concat(a, F.array(b).cast(BOXES)))
-    grown = F.aggregate(F.coalesce("small", F.array().cast(BOXES)), grown, step)
-    return joined.select(group, F.explode(grown).alias("b")).select(group, "b.*")
+    return _exploded(joined, group, L.with_small(F.col("boxes"), F.coalesce("small", L.none()), F.lit(distance)))
