@@ -19,7 +19,7 @@ def blank_as(c: str, default: str) -> Column:
 def template(manifest: DataFrame, columns: list[str]) -> DataFrame:
     """An empty sheet for the manifest's rows."""
     return manifest.withColumns({c: F.lit("") for c in columns if c not in manifest.columns}).withColumns(
-        {"confidence": F.lit("medium"), "review_status": F.lit("pending"), "updated_at": F.current_timestamp()}
+        {"confidence": F.lit("medium"), "review_status": F.lit("pending"), "updated_at": now()}
     )
 
 
@@ -56,3 +56,29 @@ def upsert(sheet: DataFrame, edits: DataFrame, key: str, order: list[str]) -> Da
     last = first_rows(edits, key, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in edits.columns if c != key])
     joined = sheet.join(last, key, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if f"_new_{c}" in joined.columns else F.col(c) for c in sheet.columns])
+
+
+def reviewed(sheet: DataFrame, label: str, statuses: list[str]) -> DataFrame:
+    """Rows that have a label, of these statuses where the sheet knows any."""
+    named = sheet.where(F.trim(F.coalesce(label, F.lit(""))) != "")
+    return named.where(F.col("review_status").isin(statuses)) if "review_status" in sheet.columns else named
+
+
+def counts(sheet: DataFrame, medicine: str, text: str = "word_text") -> DataFrame:
+    """Rows in all, annotated, reviewed, and reviewed with a medicine."""
+    has = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    done = F.col("review_status") == "reviewed"
+    return sheet.agg(F.count("*").alias("total"), F.count_if(has(text)).alias("annotated"), F.count_if(done).alias("reviewed"), F.count_if(done & has(medicine)).alias("medicines"))
+
+
+def next_line(y1: Column, y2: Column, height: Column) -> dict[str, Column]:
+    """Where the line after this one may stand: below it, or at the bottom where there is no room."""
+    tall = F.greatest(F.lit(20), y2 - y1)
+    top = y2 + F.greatest(F.lit(8), (0.3 * (y2 - y1)).cast("int"))
+    low = top + tall > height
+    return {"y1": F.when(low, F.greatest(F.lit(0), height - tall)).otherwise(top), "y2": F.when(low, height).otherwise(top + tall)}
+
+
+def now() -> Column:
+    """The time as text, in whole seconds of UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")

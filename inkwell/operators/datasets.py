@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_text
 from .numbering import numbered
 
 
@@ -86,3 +87,46 @@ def augment(rows: DataFrame, copies: int = 3, image: str = "image") -> DataFrame
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same for every run."""
     return rows.orderBy(seeded(seed, F.col(key)), key).limit(n)
+
+
+def adapted(rows: DataFrame, image: str, label: str) -> DataFrame:
+    """A source's own columns as samples (image, label, source_image); rows without a label go."""
+    name = normalize_text(F.col(label))
+    return rows.select(F.col(image).alias("image"), name.alias("label"), F.regexp_extract(image, "([^/]*)$", 1).alias("source_image")).where(F.col("label") != "")
+
+
+def rebased(path: Column, folder: str) -> Column:
+    """The file under another folder."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_extract(path, "([^/]*)$", 1))
+
+
+def numbered_in(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """0, 1, ... inside each group."""
+    return rows.withColumn(out, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with place: a seeded order of all of them."""
+    return numbered(rows.withColumn("_at", seeded(seed, F.col(key))), ["_at", key], "place").drop("_at")
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, n): rows of each table."""
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in stages.items()])
+
+
+def latest(files: DataFrame, group: str, path: str, time: str) -> DataFrame:
+    """(group, path): the latest file of each group; of equal times the last path."""
+    return files.groupBy(group).agg(F.max_by(path, F.struct(time, path)).alias(path))
+
+
+def augmentation_draws(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with the parameters of a random change, the same for every run: degrees, scale, shifts, contrast, brightness, blur and noise."""
+    def uniform(name: str, low: float, high: float) -> Column:
+        share = F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{name}"), key), 11) / float(1 << 53)
+        return low + share * (high - low)
+
+    return rows.withColumns({
+        "degrees": uniform("degrees", -4, 4), "scale": uniform("scale", 0.94, 1.08), "shift_x": uniform("shift_x", -0.06, 0.06), "shift_y": uniform("shift_y", -0.06, 0.06),
+        "contrast": uniform("contrast", 0.82, 1.18), "brightness": uniform("brightness", -0.18, 0.18), "blur": uniform("blur", 0, 1) < 0.15, "noise": uniform("noise", 0, 1) < 0.15,
+    })

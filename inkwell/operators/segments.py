@@ -320,3 +320,43 @@ def word_rows(found: DataFrame, min_width: int = 8, min_height: int = 8) -> Data
 def problems(rows: DataFrame) -> DataFrame:
     """Rows whose quality isn't ok."""
     return rows.where(F.col("quality_flag") != "ok")
+
+
+def drawn(pages: DataFrame, paper: int = 240, ink: int = 60) -> DataFrame:
+    """``pages`` (image_id, height, width, boxes) with data: the boxes in ink on paper, for tests and demonstrations."""
+    def make(row: dict) -> tuple:
+        page = np.full((row["height"], row["width"]), paper, np.uint8)
+        for b in row["boxes"]:
+            page[b["y1"] : b["y2"], b["x1"] : b["x2"]] = ink
+        return (page.tobytes(),)
+
+    return _appended(pages, {"data": ("binary", pa.binary())}, make)
+
+
+def masked(images: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """``images`` with the rectangles (image_id, rectangle: corners in order) blacked out, and how many there were."""
+    mine = rectangles.groupBy("image_id").agg(F.collect_list("rectangle").alias("_rectangles"))
+    joined = images.join(mine, "image_id", "left").withColumn("_rectangles", F.coalesce("_rectangles", F.array().cast("array<array<int>>")))
+
+    def make(row: dict) -> tuple:
+        page = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"])
+        return R.mask(page, [tuple(r) for r in row["_rectangles"]]).tobytes(), len(row["_rectangles"])
+
+    black = _appended(joined, {"_masked": ("binary", pa.binary()), "mask_count": ("int", pa.int32())}, make)
+    return black.withColumn("data", F.col("_masked")).drop("_masked", "_rectangles")
+
+
+def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """A row (image_id, row, height, width, data) for each box (image_id, row, x1..y2) that holds pixels."""
+    def make(row: dict) -> tuple:
+        part = R.crop(np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"]), row["x1"], row["y1"], row["x2"], row["y2"])
+        return np.ascontiguousarray(part).tobytes(), part.shape[0], part.shape[1]
+
+    fields = {"_crop": ("binary", pa.binary()), "_height": ("int", pa.int32()), "_width": ("int", pa.int32())}
+    made = _appended(images.join(boxes, "image_id"), fields, make).where("_height > 0 AND _width > 0")
+    return made.select("image_id", "row", F.col("_height").alias("height"), F.col("_width").alias("width"), F.col("_crop").alias("data"))
+
+
+def grey_sums(images: DataFrame) -> DataFrame:
+    """``images`` with grey: the sum of their pixels."""
+    return _appended(images, {"grey": ("bigint", pa.int64())}, lambda row: (int(np.frombuffer(row["data"], np.uint8).sum(dtype=np.int64)),))

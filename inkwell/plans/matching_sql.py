@@ -99,3 +99,14 @@ grown(page_id, boxes, k) AS (
     THEN {'x1': least(w.x1, x1), 'y1': least(w.y1, y1), 'x2': greatest(w.x2, x2), 'y2': greatest(w.y2, y2)} ELSE w END), k FROM (
     SELECT g.page_id, g.boxes, s.k, s.x1, s.y1, s.x2, s.y2, list_transform(g.boxes, lambda w: greatest(0.0, w.x1 - (s.x1 + s.x2) / 2.0, (s.x1 + s.x2) / 2.0 - w.x2)
       + abs((s.y1 + s.y2) / 2.0 - (w.y1 + w.y2) / 2.0) * 0.35) AS d FROM grown g JOIN small s ON s.page_id = g.page_id AND s.k = g.k + 1) q)"""
+
+#: placed(page_id, bands, k): boxes by their middles each join the first band whose middle is near.
+FIRST_FIT = """
+o AS (SELECT page_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY page_id ORDER BY (y1 + y2) / 2.0, x1, y1, x2, y2) AS k FROM rx),
+placed(page_id, bands, k) AS (
+  SELECT page_id, [{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}], k FROM o WHERE k = 1
+  UNION ALL
+  SELECT page_id, CASE WHEN spot IS NULL THEN list_append(bands, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) ELSE list_transform(bands, lambda b, i: CASE WHEN i = spot
+    THEN {'x1': least(b.x1, x1), 'y1': least(b.y1, y1), 'x2': greatest(b.x2, x2), 'y2': greatest(b.y2, y2)} ELSE b END) END, k FROM (
+    SELECT p.page_id, p.bands, o.k, o.x1, o.y1, o.x2, o.y2, list_position(list_transform(p.bands, lambda b: abs((o.y1 + o.y2) / 2.0 - (b.y1 + b.y2) / 2.0) <= greatest(7, CAST(trunc(0.55 * greatest(1, b.y2 - b.y1)) AS INT))), true) AS spot
+    FROM placed p JOIN o ON o.page_id = p.page_id AND o.k = p.k + 1) q)"""

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_name
+from ..operators.annotate import now
+from ..operators.datasets import numbered_in, rebased
+
 
 def csv(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None, overwrite: bool = False) -> None:
     """The named columns with a header, even of an empty table; other columns are left out."""
@@ -31,3 +37,71 @@ def label_lines(boxes: DataFrame, image: str = "image_id", label: int = 0) -> Da
     line = F.format_string(f"{label} %.6f %.6f %.6f %.6f", "cx", "cy", "w", "h")
     rows = boxes.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("all"))
     return rows.select(image, F.array_join(F.col("all.line"), "\n").alias("lines"))
+
+
+def split_tree(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """Label tables of a data set, a folder for each split, with the images under new numbered names; the table (split, IMAGE, MEDICINE_NAME, SOURCE_DATASET, SOURCE_IMAGE, source) is returned.
+
+    ``rows`` has split, image, label, source_dataset and source_image. Where they
+    have ``content``, it is written too, so the table holds the images themselves.
+    """
+    rank = numbered_in(rows, "split", ["source_dataset", "image"], "_rank")
+    suffix = F.lower(F.regexp_extract("image", r"(\.[^./]+)$", 1))
+    name = F.concat(F.lpad(F.col("_rank").cast("string"), 6, "0"), F.lit("_"), safe_name(F.col("source_dataset")), suffix)
+    content = ["content"] if "content" in rows.columns else []
+    out = rank.select("split", name.alias("IMAGE"), F.col("label").alias("MEDICINE_NAME"), F.col("source_dataset").alias("SOURCE_DATASET"), F.col("source_image").alias("SOURCE_IMAGE"), F.col("image").alias("source"), *content)
+    splits(out, path, overwrite)
+    return out
+
+
+def label_files(boxes: DataFrame, path: str, image: str = "image_id", label: int = 0, names: list[str] | None = None) -> None:
+    """Detector labels, a text file for each image in a folder of its name, and a table of the class names beside them.
+
+    Images without boxes have no rows and so no file.
+    """
+    lines = label_lines(boxes, image, label)
+    lines.write.mode("errorifexists").partitionBy(image).text(f"{path}/labels")
+    kinds = lines.sparkSession.createDataFrame(list(enumerate(names or ["region"])), "index int, name string")
+    kinds.coalesce(1).write.mode("errorifexists").json(f"{path}/names")
+
+
+def package(sheet: DataFrame, annotator: str, path: str, image: str = "image_path", folder: str = "images", overwrite: bool = False) -> DataFrame:
+    """One annotator's rows, with paths into the package's own folder; an error if there are none."""
+    mine = sheet.where(F.col("annotator_id") == annotator)
+    if mine.isEmpty():
+        raise ValueError(f"no rows of {annotator}")
+    moved = mine.withColumns({"source": F.col(image), image: rebased(F.col(image), folder)})
+    csv(moved, path, moved.columns, [image], overwrite)
+    return moved
+
+
+def listing_package(files: DataFrame, path: str, names: list[str]) -> None:
+    """A listing (image_name, image_path) in order, and the class names, for annotation tools."""
+    listing = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("image_name"), F.col("path").alias("image_path"))
+    csv(listing, f"{path}/manifest", ["image_name", "image_path"], ["image_name"])
+    files.sparkSession.createDataFrame([("\n".join(names),)], "value string").coalesce(1).write.text(f"{path}/classes")
+
+
+def masks(masked: DataFrame, rectangles: DataFrame, path: str) -> None:
+    """The masked rasters, how many rectangles each has, and the rectangles as JSON."""
+    json(masked.drop("data"), f"{path}/manifest")
+    masked.write.mode("errorifexists").parquet(f"{path}/images")
+    mine = rectangles.groupBy("image_id").agg(F.collect_list("rectangle").alias("rectangles"))
+    json(mine, f"{path}/rectangles")
+
+
+def json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A table of one pretty-printable JSON array, for small results."""
+    rows = df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    rows.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def metrics(named: dict[str, DataFrame], path: str, overwrite: bool = False) -> DataFrame:
+    """One-row tables as (name, metric, value), written as CSV, with the time of the run."""
+    def long(name: str, df: DataFrame) -> DataFrame:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns]))
+        return df.select(F.lit(name).alias("name"), pairs.alias("p")).select("name", "p.*")
+
+    table = reduce(DataFrame.union, [long(name, df) for name, df in named.items()]).withColumn("run_at", now())
+    csv(table, path, table.columns, ["name", "metric"], overwrite)
+    return table

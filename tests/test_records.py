@@ -1,5 +1,6 @@
 """Record operators against plain loops, and sources and sinks against their files."""
 
+import json
 import random
 import re
 from difflib import SequenceMatcher
@@ -17,7 +18,8 @@ from inkwell.operators import entities as E
 from inkwell.operators import metrics as M
 from inkwell.operators.lexicon import best_matches, demo_matches, load_lexicon
 from inkwell.operators.numbering import numbered
-from inkwell.sources import readers, sinks
+from inkwell.operators import segments as S
+from inkwell.sources import adapters, readers, sinks
 from inkwell.streaming.files import follow
 
 LINES = [
@@ -282,3 +284,68 @@ def test_sinks_and_incremental_runs(spark, tmp_path):
         follow(spark, str(tmp_path / "in"), "id int, t string, split string", lambda x: x.where("id > 0"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         sinks.append(df, str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def pgm(array):
+    return b"P5\n%d %d\n255\n" % array.shape[::-1] + array.tobytes()
+
+
+def test_data_set_layouts(spark, tmp_path):
+    tree, flat = tmp_path / "tree", tmp_path / "flat"
+    for split, k in (("training", 2), ("testing", 1)):
+        folder = tree / split.title() / f"{split}_words"
+        folder.mkdir(parents=True)
+        rows = [f"{j}.png, name  {j} " for j in range(k)] + ["gone.png,x", "0.png,"]
+        (tree / split.title() / f"{split}_labels.csv").write_text("\n".join(["IMAGE,MEDICINE_NAME", *rows]))
+        for j in range(k):
+            (folder / f"{j}.png").write_bytes(b"x")
+    got = sorted((r["source_dataset"], r["source_image"], r["label"]) for r in adapters.split_tree(spark, str(tree)).collect())
+    assert got == [("bd_testing", "0.png", "name 0"), ("bd_training", "0.png", "name 0"), ("bd_training", "1.png", "name 1")]
+    (flat / "img/img").mkdir(parents=True)
+    (flat / "doctor_handwriting_labels.csv").write_text("filename,label\na.jpg,Ace\nb.txt,Bee\n")
+    for name in ("a.jpg", "b.txt"):
+        (flat / "img/img" / name).write_bytes(b"x")
+    assert [r["label"] for r in adapters.flat(spark, str(flat), "archive_doctor_handwriting").collect()] == ["Ace"]
+    assert adapters.flat(spark, str(flat), "rxhand").isEmpty() and adapters.split_tree(spark, str(tmp_path / "no")).isEmpty()
+    (tmp_path / "t.txt").write_text("one\n\n  two  words\n \n")
+    assert [tuple(r) for r in adapters.text_lines(spark, str(tmp_path / "t.txt")).collect()] == [(0, "one"), (1, "two words")]
+    (tmp_path / "regions").mkdir()
+    (tmp_path / "regions/p 1.png").write_bytes(pgm(np.arange(6, dtype=np.uint8).reshape(2, 3)))
+    (tmp_path / "regions/bad.png").write_bytes(b"not an image")
+    region = adapters.region_folder(spark, str(tmp_path / "regions")).collect()
+    assert [(r["page_id"], r["region_id"], r["x2_page"], r["y2_page"], bytes(r["data"])) for r in region] == [("p_1", "p_1_r00", 3, 2, bytes(range(6)))]
+    files = adapters.in_listing_order(readers.images(spark, str(tree)))
+    assert [r["number"] for r in files.orderBy("path").collect()] == [0, 1, 2]
+
+
+def test_packages(spark, tmp_path):
+    rows = [("train", f"/a/{k}.PNG", f"l{k}", "my set", f"{k}.PNG", b"x") for k in range(3)] + [("val", "/b/9.jpg", "m", "other", "9.jpg", b"y")]
+    df = spark.createDataFrame(rows, "split string, image string, label string, source_dataset string, source_image string, content binary")
+    got = {(r["split"], r["IMAGE"]): r["source"] for r in sinks.split_tree(df, str(tmp_path / "s")).collect()}
+    assert got == {("train", f"00000{k}_my_set.png"): f"/a/{k}.PNG" for k in range(3)} | {("val", "000000_other.jpg"): "/b/9.jpg"}
+    assert spark.read.parquet(str(tmp_path / "s")).where("content IS NOT NULL").count() == 4
+    boxes = spark.createDataFrame([("p", 1, 0.5, 0.5, 0.25, 0.125), ("p", 0, 0.1, 0.1, 0.1, 0.1), ("q", 0, 0.2, 0.2, 0.2, 0.2)], "image_id string, row int, cx double, cy double, w double, h double")
+    sinks.label_files(boxes, str(tmp_path / "y"), names=["region"])
+    assert (next((tmp_path / "y/labels/image_id=p").glob("*.txt"))).read_text() == "0 0.100000 0.100000 0.100000 0.100000\n0 0.500000 0.500000 0.250000 0.125000\n"
+    sheet = spark.createDataFrame([("a", "/x/1.png"), ("b", "/x/2.png")], "annotator_id string, image_path string")
+    sinks.package(sheet, "a", str(tmp_path / "p"))
+    assert [(r["image_path"], r["source"]) for r in readers.manifest(spark, str(tmp_path / "p")).collect()] == [("images/1.png", "/x/1.png")]
+    with pytest.raises(ValueError, match="no rows"):
+        sinks.package(sheet, "c", str(tmp_path / "none"))
+    sinks.listing_package(spark.createDataFrame([("/x/2.png",), ("/x/1.png",)], "path string"), str(tmp_path / "l"), ["r", "s"])
+    assert readers.manifest(spark, str(tmp_path / "l/manifest")).count() == 2 and readers.class_names(spark, str(tmp_path / "l/classes")).count() == 2
+    page = np.full((4, 5), 200, np.uint8)
+    pages = spark.createDataFrame([("p", 4, 5, bytearray(page.tobytes())), ("q", 4, 5, bytearray(page.tobytes()))], "image_id string, height int, width int, data binary")
+    rectangles = spark.createDataFrame([("p", [1, 1, 3, 3]), ("p", [0, 0, 1, 1])], "image_id string, rectangle array<int>")
+    black = S.masked(pages, rectangles)
+    assert {r["image_id"]: (r["mask_count"], r["grey"]) for r in S.grey_sums(black).collect()} == {"p": (2, 15 * 200), "q": (0, 20 * 200)}
+    sinks.masks(black, rectangles, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m/rectangles")).count() == 1 and spark.read.parquet(str(tmp_path / "m/images")).count() == 2
+    sinks.json_array(spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string"), str(tmp_path / "j"))
+    assert json.loads(spark.read.text(str(tmp_path / "j")).first()[0]) == [{"i": 1, "t": "a"}, {"i": 2, "t": "b"}]
+    lines = spark.createDataFrame([("a b", "a c")], "r string, h string")
+    table = sinks.metrics({"wer": M.wer(lines, "r", "h"), "cer": M.cer(lines, "r", "h")}, str(tmp_path / "k"))
+    assert {(r["name"], r["metric"]): r["value"] for r in table.collect()}[("wer", "percent")] == 50.0
+    draws = D.augmentation_draws(spark.range(500), "id").collect()
+    assert all(abs(r["degrees"]) <= 4 and 0.94 <= r["scale"] < 1.08 for r in draws) and 40 < sum(r["blur"] for r in draws) < 110
+    assert {r["y1"] for r in spark.createDataFrame([(10, 40), (90, 130)], "a int, b int").select(*[c.alias(k) for k, c in A.next_line(F.col("a"), F.col("b"), F.lit(150)).items()]).collect()} == {49, 110}
