@@ -14,7 +14,7 @@ running sum over the sources (sorted by the level at which they are full)
 finds without iteration.
 
 Defined results: null and blank texts have size 0 and nothing taken; a null
-doc_id is a key like any other; repeated rows are documents of their own; if
+doc_id is keyed by its text; repeated rows are documents of their own; if
 all sizes are 0, so are the targets; extra columns are carried by
 ``mixed_documents`` and ignored by ``mix``; an empty table gives an empty result.
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE_RUN, running_sum, words_of
+from .common import WHITE_RUN, running_sum, text_of, words_of, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -59,14 +59,15 @@ def mix(docs: DataFrame, seed: str = "mix", **law) -> DataFrame:
     """``_ik_row`` (the document), doc_id, size, source_size, target and taken.
 
     ``taken`` counts the words that the mix takes from the document, repeats
-    counted. The taken words of a source are its target, rounded down.
+    counted. The taken words of a source are its target, rounded down. Sizes and
+    keys are written first, so texts are read and split once.
     """
     size = F.size(words_of(F.col("text"))).cast("long")
     sized = docs.select(
         F.struct("*").alias("_ik_row"), "doc_id", "source", size.alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("_ik_key"),
-        F.xxhash64("text").alias("_ik_tie"),
+        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of(F.col("text"))))).alias("_ik_key"),
     )
+    sized = written(sized, "sizes")
     sums = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), **law)
     sums = sums.withColumnRenamed("source", "_ik_source")
     rows = F.greatest(F.lit(ROWS_A_BUCKET), F.sum("n").over(Window.partitionBy()) / MAX_BUCKETS)
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, seed: str = "mix", **law) -> DataFrame:
     placed = sized.join(sums, sized["source"].eqNullSafe(sums["_ik_source"]))
     share = F.conv(F.substring("_ik_key", 1, 8), 16, 10).cast("long")
     placed = placed.withColumn("_ik_bucket", F.floor(share * F.col("_ik_buckets") / (1 << 32)).cast("long"))
-    placed = running_sum(placed, "_ik_source", ["_ik_key", "_ik_tie"], "_ik_bucket", "size", "_ik_start")
+    placed = running_sum(placed, "_ik_source", ["_ik_key"], "_ik_bucket", "size", "_ik_start")
 
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
