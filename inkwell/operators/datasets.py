@@ -50,12 +50,17 @@ def stratified_counts(n: Column, train: float = 0.8, val: float = 0.1) -> tuple[
 
 def label_split(rows: DataFrame, label: Column, key: str, counts=split_counts, seed: int = 42, **ratios) -> DataFrame:
     """``rows`` with split: each label's rows in seeded order, cut by its counts."""
-    group = Window.partitionBy("_label")
-    rank = F.row_number().over(group.orderBy(seeded(seed, F.col(key)), F.col(key)))
-    ranked = rows.withColumn("_label", label).withColumns({"_rank": rank, "_n": F.count("*").over(group).cast("int")})
+    keyed = rows.withColumns({"_label": label, "_at": seeded(seed, F.col(key))}).withColumn("_bucket", F.substring("_at", 1, 3))
+    # A label may have most of the rows: they are ranked in buckets of the order, after the rows of the buckets ahead.
+    ahead = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(F.col("_label").alias("_of"), F.col("_bucket").alias("_in")).agg(F.count("*").alias("_rows"))
+    sizes = sizes.select("_of", "_in", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_rows").over(Window.partitionBy("_of")).cast("int").alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_at", key))
+    ranked = keyed.withColumn("_inside", inside).join(sizes, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
+    ranked = ranked.withColumn("_rank", F.col("_ahead") + F.col("_inside"))
     train, val = counts(F.col("_n"), **ratios)
     split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_label", "_rank", "_n")
+    return ranked.withColumn("split", split).drop("_label", "_at", "_bucket", "_inside", "_of", "_in", "_ahead", "_n", "_rank")
 
 
 def group_split(rows: DataFrame, group: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
