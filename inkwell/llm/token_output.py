@@ -36,8 +36,8 @@ ROW = pa.schema([
 NO_ID = -(1 << 63)
 END_ID = 1
 BLOCK_IDS = 1 << 16
-#: Chunks that a worker remembers; each holds some 150 bytes.
-REMEMBERED = 200_000
+#: Chunks of a generation; a worker remembers two, and each chunk takes some 150 bytes.
+REMEMBERED = 250_000
 #: Bytes of text that are cut into chunks at once; a longer text is cut alone.
 SLICE_BYTES = 1 << 22
 
@@ -124,6 +124,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.words = None
         if letter_runs(self.tokenizer):
             self.words = Tokenizer(self.tokenizer.model)
@@ -161,12 +162,16 @@ class Encoder:
             self.keep(part, np.array(got.ids, "<u4"), np.searchsorted(first, starts))
 
     def look_up(self, pieces: pa.Array, words: pa.Array) -> list[bytes]:
-        """The ids of distinct pieces; new ones are encoded, many in a call."""
+        """The ids of distinct pieces; new ones are encoded, many in a call. What a generation didn't use is forgotten."""
         each = pieces.to_numpy(zero_copy_only=False).tolist()
         raw = list(map(self.known.get, each))
         new = [k for k, x in enumerate(raw) if x is None]
+        for k in new:
+            raw[k] = self.older.get(each[k])
+        self.known.update((each[k], raw[k]) for k in new if raw[k] is not None)
+        new = [k for k in new if raw[k] is None]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {"": b""}, [k for k, x in enumerate(each) if x]
+            self.older, self.known = self.known, {"": b""}
         word = words.to_numpy(zero_copy_only=False)
         self.learn_words([each[k] for k in new if word[k]])
         self.learn_any([each[k] for k in new if not word[k]])
