@@ -2,8 +2,9 @@
 
 Pass one scatters the records by a seeded hash into buckets of about
 ``bucket_bytes``; pass two shuffles each bucket in memory (Spark's ``shuffle``
-is a Fisher-Yates shuffle) and deals the resulting global order to the shards,
-round robin. Law ``rows``: shard counts differ by one at most.
+is a Fisher-Yates shuffle) and writes it. The shards are equal parts of the
+resulting global order, so a bucket goes to one shard or a few and is not dealt
+again. Law ``rows``: shard counts differ by one at most.
 
 A row that stands ``HEAVY`` times or more is scattered copy by copy: one of its
 rows goes on with their number and is multiplied again, so that no bucket holds
@@ -40,8 +41,8 @@ def shuffle_into_shards(
     """``docs`` with size, bucket, shard and slot (gapless from 0 in each shard)."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUTS])
     sized = docs.withColumn("size", F.octet_length(text_of(F.col("text"))).cast("long") + OVERHEAD)
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    n_buckets = max(min_buckets, math.ceil(total / bucket_bytes))
+    total, n_rows = sized.agg(F.sum("size"), F.count("*")).first()
+    n_buckets = max(min_buckets, math.ceil((total or 0) / bucket_bytes))
     # Each record with a hash of its own: of its columns and, of a heavy row, the number of the copy.
     columns = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     row = F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("r")
@@ -66,21 +67,16 @@ def shuffle_into_shards(
         .sortWithinPartitions("bucket")
         .select("bucket", F.posexplode(F.shuffle("_ik_all", seed)).alias("_ik_pos", "_ik_e"))
     )
-    place = F.col("_ik_first") + F.col("_ik_pos")
-    return buckets.join(starts, F.col("bucket") == F.col("_ik_bucket")).select(
-        "_ik_e.r.*", "bucket",
-        F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"),
-        F.floor(place / n_shards).cast("long").alias("slot"),
-    )
+    placed = buckets.join(starts, F.col("bucket") == F.col("_ik_bucket")).withColumn("_ik_place", F.col("_ik_first") + F.col("_ik_pos"))
+    placed = placed.withColumn("shard", F.expr(f"_ik_place * {n_shards} div {max(n_rows, 1)}").cast("int"))
+    # The first place of a shard: the least one of which this gives the shard.
+    slot = F.expr(f"_ik_place - (shard * {n_rows}L + {n_shards - 1}) div {n_shards}")
+    return placed.withColumn("slot", slot.cast("long")).select("_ik_e.r.*", "bucket", "shard", "slot")
 
 
-def write_shards(sharded: DataFrame, path: str, rows_a_file: int = 100_000) -> None:
-    """A folder a shard, records in order of slot; a file holds ``rows_a_file`` consecutive ones at most, however large the shards are."""
-    part = F.floor(F.col("slot") / rows_a_file)
-    (
-        sharded.repartition("shard", part).sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
-    )
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """A folder a shard, with a file for each bucket that it has a part of, in order of slot."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
