@@ -1,10 +1,14 @@
 """Hashes counted over the whole corpus without a row for each hash.
 
-Documents go to blocks: ranges of doc_id, cut at its quantiles. A block sends,
+Documents go to blocks of about equal bytes, in order of doc_id. A block sends,
 for each of a number of prefixes, one array of its distinct hashes; a prefix
 meets at most one copy of a hash from each block, however often it occurs, so
 a hot passage costs no more than any other. What comes back to a block are the
 numbers of those hashes which other blocks have too.
+
+Blocks and prefixes both grow with the input, each with a task of its own, so
+no task does. Only prefixes that a block has are sent: however many there are,
+there are never more rows than hashes.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 NO_ID = -(1 << 63)
-SENT = "prefix int, block int, hashes binary"
-MARKS = "block int, prefix int, marks binary"
+SENT = "prefix int, block long, hashes binary"
+MARKS = "block long, prefix int, marks binary"
+#: Bounds in a plan, bytes of text that weigh as much as a row, and pieces that a doc_id may be cut into.
+RANGES, WEIGHED, PIECES = 1024, 4096, 1 << 24
+MANY, MOST_BYTES = 20_000, 256 << 20
 
 
-def block_of(doc_id: Column, bounds: list[int]) -> Column:
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
     """How many bounds are at or below doc_id, looked up in two levels."""
     if not bounds:
         return F.lit(0)
@@ -32,26 +39,48 @@ def block_of(doc_id: Column, bounds: list[int]) -> Column:
     lit = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     first = F.size(F.filter(lit([g[0] for g in groups]), lambda x: x <= doc_id)) - 1
     inside = F.size(F.filter(F.get(F.array(*[lit(g) for g in groups]), first), lambda x: x <= doc_id))
-    return F.when(first < 0, F.lit(0)).otherwise(first * wide + inside).cast("int")
+    return F.when(first < 0, F.lit(0)).otherwise(first * wide + inside).cast("long")
 
 
-def with_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 64) -> tuple[DataFrame, int]:
-    """(doc_id, text, block) with a null doc_id as the smallest, and the number of blocks."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    size = F.octet_length(text_of(F.col("text")))
+def with_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 16) -> tuple[DataFrame, int]:
+    """(doc_id, text, block) with a null doc_id as the smallest, and the number of blocks.
 
-    def cut(n: int) -> tuple[int, list[int]]:
-        at = [k / n for k in range(1, n)]
-        total, found = docs.agg(F.sum(size), F.percentile_approx("doc_id", at, max(10_000, 20 * n))).first()
-        return total or 0, found or []
-
-    total, bounds = cut(1024)
-    n = max(min_blocks, math.ceil(total / block_bytes))
-    if n > 1024:
-        _, bounds = cut(n)
-    elif bounds:
-        bounds = [bounds[k * 1024 // n - 1] for k in range(1, n)]
-    return docs.withColumn("block", block_of(F.col("doc_id"), sorted(set(bounds)))), n
+    A block has ``block_bytes``, and of a large input so much more that there
+    are no more than ``MANY`` blocks, up to ``MOST_BYTES``.
+    Bounds are quantiles of doc_id, counted once for each ``WEIGHED`` bytes.
+    There are ``RANGES`` of them at most, cut evenly by doc_id into as many
+    blocks as the bytes need. A doc_id with more than a block of text is dealt to
+    blocks of its own by the hash of the text.
+    """
+    size = F.octet_length(text_of(F.col("text")))
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    sized = docs.select("doc_id", size.cast("long").alias("size"))
+    weighed = sized.select("doc_id", F.posexplode(F.array_repeat("size", F.ceil((F.col("size") + 1) / WEIGHED).cast("int"))).alias("k", "size"))
+    at = [k / RANGES for k in range(1, RANGES)]
+    total, low, high, found = weighed.agg(
+        F.sum(F.when(F.col("k") == 0, F.col("size"))), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.max("doc_id"), F.percentile_approx("doc_id", at, 20 * RANGES)
+    ).first()
+    block_bytes = max(block_bytes, min(MOST_BYTES, (total or 0) // MANY))
+    n = max(min_blocks, math.ceil((total or 0) / block_bytes))
+    used = min(n, RANGES)
+    bounds = sorted({found[k * RANGES // used - 1] for k in range(1, used)}) if found else []
+    each = -(-n // RANGES)
+    block = range_of(F.col("doc_id"), bounds)
+    if each > 1 and bounds:
+        edge = lambda xs: F.get(F.array(*[F.lit(x).cast("double") for x in xs]), block.cast("int"))
+        first, end = edge([low, *bounds]), edge([*bounds, high + 1])
+        part = F.floor((F.col("doc_id") - first) / F.greatest(end - first, F.lit(1.0)) * each)
+        block = block * each + F.greatest(F.lit(0), F.least(part, F.lit(each - 1))).cast("long")
+    blocked = docs.withColumn("block", block * PIECES)
+    heavy = written(sized.groupBy("doc_id").agg(F.sum("size").alias("_ik_bytes")).where(F.col("_ik_bytes") > block_bytes), "heavy")
+    if not heavy.isEmpty():
+        # The upper 31 bits of the hash, as a share of the pieces.
+        share = F.shiftrightunsigned(F.xxhash64("text"), 33) / (1 << 31)
+        piece = F.floor(share * F.ceil(F.col("_ik_bytes") / block_bytes)).cast("long")
+        blocked = blocked.join(heavy.withColumnRenamed("doc_id", "_ik_id"), F.col("doc_id") == F.col("_ik_id"), "left").select(
+            "doc_id", "text", (F.col("block") + F.coalesce(piece, F.lit(0))).alias("block")
+        )
+    return blocked, n
 
 
 def in_order(frame: pd.DataFrame) -> pd.DataFrame:
@@ -75,39 +104,42 @@ def sent(hashes: np.ndarray, places: np.ndarray, begins: np.ndarray, block: int)
     """The rows that a block sends: one for each prefix that it has."""
     full = np.flatnonzero(np.diff(begins))
     return pd.DataFrame({
-        "prefix": full.astype("int32"), "block": np.int32(block),
+        "prefix": full.astype("int32"), "block": np.int64(block),
         "hashes": [hashes[places[begins[p] : begins[p + 1]]].tobytes() for p in full],
     })
 
 
-def met(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """(block, prefix, marks): numbers of the sent hashes that another block has too.
+def met_elsewhere(frame: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
+    """(block, prefix, marks) of the rows of one prefix: numbers of the sent hashes that another block has too.
 
     With ``keep_first`` the block that is first in order isn't told.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block", ignore_index=True)
-        parts = [np.frombuffer(b, np.uint64) for b in frame["hashes"]]
-        begins = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        hashes = np.concatenate(parts)
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
-        hit = np.zeros(len(order), bool)
-        hit[1:] |= same
-        if not keep_first:
-            hit[:-1] |= same
-        marked = np.zeros(len(order), bool)
-        marked[order[hit]] = True
-        out = []
-        for k, block in enumerate(frame["block"]):
-            own = np.flatnonzero(marked[begins[k] : begins[k + 1]])
-            if len(own):
-                out.append((block, frame["prefix"][0], own.astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["block", "prefix", "marks"])
-
-    return rows.groupBy("prefix").applyInPandas(run, MARKS)
+    if not len(frame):
+        return pd.DataFrame(columns=["block", "prefix", "marks"])
+    frame = frame.sort_values("block", ignore_index=True)
+    parts = [np.frombuffer(b, np.uint64) for b in frame["hashes"]]
+    begins = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    hashes = np.concatenate(parts)
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    hit = np.zeros(len(order), bool)
+    hit[1:] |= same
+    if not keep_first:
+        hit[:-1] |= same
+    marked = np.zeros(len(order), bool)
+    marked[order[hit]] = True
+    out = []
+    for k, block in enumerate(frame["block"]):
+        own = np.flatnonzero(marked[begins[k] : begins[k + 1]])
+        if len(own):
+            out.append((block, frame["prefix"][0], own.astype(np.uint32).tobytes()))
+    return pd.DataFrame(out, columns=["block", "prefix", "marks"])
+
+
+def met(rows: DataFrame, keep_first: bool, prefixes: int) -> DataFrame:
+    """What ``met_elsewhere`` tells of all prefixes."""
+    return rows.repartition(prefixes, "prefix").groupBy("prefix").applyInPandas(lambda frame: met_elsewhere(frame, keep_first), MARKS)
 
 
 def marked_places(marks: pd.DataFrame, places: np.ndarray, begins: np.ndarray) -> np.ndarray:

@@ -4,11 +4,13 @@ Rabin-Karp hashes of every window of ``width`` words are counted in Spark (see
 ``blocks``); a window whose hash has an earlier place (smaller doc_id, or the
 same document and an earlier start) is a repeat, and repeats merge into maximal
 removal intervals. Hashes have 64 bits beside an independent prefix, whose
-number grows with the input.
+number grows with the input; they are not compared word by word, and at 100 TB
+about one window in all is expected to be taken for a repeat by chance.
 
 Defined results: null and blank texts have no words and keep the empty string;
 texts shorter than a window lose nothing; rows of one doc_id stand in order of
-their text; a null doc_id comes first; extra columns are ignored; an empty
+their text (of its hash first, where they are more than a block); a null doc_id
+comes first; extra columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -25,9 +27,7 @@ from . import blocks as B
 from .hashing import batches, hashed_words, mix, windows_hash
 
 WIDTH = 20
-BLOCK_BYTES = 12 << 20
-#: Bytes of hashes for a prefix, from all blocks together.
-PREFIX_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string"
 
 
@@ -59,7 +59,7 @@ class _Windows:
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, spans (maximal, in words) and kept_text."""
     blocked, n_blocks = B.with_blocks(docs, block_bytes)
-    prefixes = max(64, math.ceil(n_blocks * block_bytes * 4 / 3 / PREFIX_BYTES))
+    prefixes = math.ceil(n_blocks * 4 / 3)  # hashes are that much more than text
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         w = _Windows(frame, width, prefixes)
@@ -83,8 +83,9 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLO
             out.append((doc_id, b - a, int(own.sum()), [{"first": x, "end": y} for x, y in edges.tolist()], b" ".join(kept).decode()))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    marks = B.met(blocked.groupBy("block").applyInPandas(send, B.SENT), keep_first=True)
-    found = blocked.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(finish, RESULT)
+    by_block = blocked.repartition(n_blocks, "block").groupBy("block")
+    marks = B.met(by_block.applyInPandas(send, B.SENT), True, prefixes)
+    found = by_block.cogroup(marks.repartition(n_blocks, "block").groupBy("block")).applyInPandas(finish, RESULT)
     return found.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
 
 

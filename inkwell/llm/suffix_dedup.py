@@ -3,13 +3,18 @@
 A string of ``width`` bytes is found by its anchor, the gram of ``width / 2``
 bytes in it that has the smallest hash (the leftmost of equal ones): equal
 strings have equal anchors at equal places, so only strings whose anchor occurs
-twice in the corpus can repeat, and those with one anchor meet in one task.
-There, the bytes from the anchor on, and those before it backwards, are sorted
-by deep-shallow sorting: multikey quicksort to a shallow depth, blind tries for
-the long common prefixes that remain. Two strings at d bytes before their
-anchors are equal if the neighbours in between share ``width - d`` bytes in the
-one order and d in the other, which running counts over the sorted order tell
-for all strings at once.
+twice in the corpus can repeat. Those with one anchor and the same ``EDGE`` bytes
+on both sides of it meet in one task. There, the bytes from the anchor on, and
+those before it backwards, are sorted by deep-shallow sorting: multikey
+quicksort to a shallow depth, blind tries for the long common prefixes that
+remain. Two strings at d bytes before their anchors are equal if the neighbours
+in between share ``width - d`` bytes in the one order and d in the other, which
+running counts over the sorted order tell for all strings at once. Strings that
+don't hold ``EDGE`` bytes on a side of their anchor are counted by their hashes.
+
+Every document that holds a passage has the passage's anchors, but its own bytes
+around the passage, so the bytes on both sides deal a hot anchor to many tasks;
+what is the same on both sides comes once from each block.
 
 Defined results: a null text counts as empty; texts shorter than ``width`` lose
 nothing; matches don't cross documents, overlaps count, strings are judged on
@@ -19,8 +24,6 @@ null; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,12 +34,14 @@ from .hashing import BASE, INVERSE, batches, mix, powers
 from .suffix_sort import deep_shallow, neighbours_share
 
 WIDTH = 200
-BLOCK_BYTES = 8 << 20
-#: Bytes of input for a prefix: its anchors' surroundings are a fraction of that.
-PREFIX_BYTES = 12 << 20
+BLOCK_BYTES = 2 << 20
 PLACES = np.uint64((1 << 28) - 1)
-AROUND = "prefix int, block int, keys binary, numbers binary, lows binary, highs binary, bytes binary"
-FOUND = "block int, numbers binary, lows binary, highs binary"
+#: Bytes on each side of an anchor by which its strings are dealt.
+EDGE = 8
+AROUND = "prefix int, block long, keys binary, numbers binary, lows binary, highs binary, bytes binary, hashes binary"
+FOUND = "block long, numbers binary, lows binary, highs binary, edge int, marks binary"
+AROUND_COLUMNS = [c.split()[0] for c in AROUND.split(", ")]
+FOUND_COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary"
 
 
@@ -76,7 +81,7 @@ class _Runs:
     """The runs of a block's documents, in order."""
 
     def __init__(self, frame: pd.DataFrame, width: int, prefixes: int) -> None:
-        self.frame, self.width = B.in_order(frame), width
+        self.frame, self.width, self.n_prefixes = B.in_order(frame), width, prefixes
         self.texts = [t.encode() for t in self.frame["text"]]
         parts, self.begins, total = [], [], 0
         for part in batches(self.texts):
@@ -92,8 +97,8 @@ class _Runs:
         self.prefixes = (mix(self.keys) % np.uint64(prefixes)).astype(np.int32)
         self.places, self.bounds, self.again = B.distinct(self.keys, self.prefixes, prefixes)
 
-    def surroundings(self, marks: pd.DataFrame) -> tuple[list[int], list[bytes], list[int]]:
-        """Runs whose anchor occurs twice, one for each content; their bytes; and the runs with a copy in this block."""
+    def surroundings(self, marks: pd.DataFrame) -> tuple[list[int], list[int]]:
+        """Runs whose anchor occurs twice, one for each content; and the runs with a copy in this block."""
         hot = np.unique(np.concatenate([self.keys[self.again], self.keys[B.marked_places(marks, self.places, self.bounds)]]))
         seen: dict[tuple[int, bytes], int] = {}
         copies = set()
@@ -103,27 +108,77 @@ class _Runs:
             one = seen.setdefault(content, k)
             if one != k:
                 copies |= {one, k}
-        return list(seen.values()), [c for _, c in seen], sorted(copies)
+        return list(seen.values()), sorted(copies)
+
+
+def window_hashes(buffer: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the strings of ``width`` bytes at these starts."""
+    out = np.zeros(len(starts), np.uint64)
+    padded = -(-width // 8) * 8
+    for k in range(0, len(starts), 1 << 12):
+        rows = np.zeros((len(starts[k : k + (1 << 12)]), padded), np.uint8)
+        rows[:, :width] = buffer[starts[k : k + (1 << 12), None] + np.arange(width)]
+        h = out[k : k + (1 << 12)]
+        for column in rows.view(np.uint64).T:
+            h[:] = mix(h * BASE + column)
+    return out
+
+
+class _Edges:
+    """The strings of some runs that have less than ``EDGE`` bytes on a side of their anchor, and their distinct hashes."""
+
+    def __init__(self, runs: _Runs, numbers: list[int]) -> None:
+        at, half = np.array(numbers, np.int64), runs.width - runs.width // 2
+        anchor, low, high = runs.anchors[at], runs.anchors[at] - runs.last[at], runs.anchors[at] - runs.first[at]
+        near = [d for d in range(half + 1) if d < EDGE or d > half - EDGE]
+        self.starts = np.concatenate([np.zeros(0, np.int64), *[(anchor - d)[(low <= d) & (d <= high)] for d in near]])
+        self.hashes = window_hashes(np.frombuffer(runs.buffer, np.uint8), self.starts, runs.width)
+        prefixes = (mix(self.hashes ^ BASE) % np.uint64(runs.n_prefixes)).astype(np.int32)
+        self.places, self.bounds, self.again = B.distinct(self.hashes, prefixes, runs.n_prefixes)
+
+    def repeated(self, marks: pd.DataFrame) -> np.ndarray:
+        """Starts of those that stand twice, here or elsewhere."""
+        hot = np.concatenate([self.hashes[self.again], self.hashes[B.marked_places(marks, self.places, self.bounds)]])
+        return self.starts[np.isin(self.hashes, hot)]
 
 
 def _around(runs: _Runs, marks: pd.DataFrame, block: int) -> pd.DataFrame:
-    numbers, contents, _ = runs.surroundings(marks)
-    out = []
-    by: dict[int, list[int]] = {}
-    for k, number in enumerate(numbers):
-        by.setdefault(int(runs.prefixes[number]), []).append(k)
-    for prefix, own in by.items():
-        at = np.array([numbers[k] for k in own])
-        lows, highs = runs.anchors[at] - runs.last[at], runs.anchors[at] - runs.first[at]
-        out.append((prefix, block, runs.keys[at].tobytes(), at.astype(np.uint32).tobytes(), lows.astype(np.uint16).tobytes(),
-                    highs.astype(np.uint16).tobytes(), b"".join(contents[k] for k in own)))
-    return pd.DataFrame(out, columns=["prefix", "block", "keys", "numbers", "lows", "highs", "bytes"])
+    numbers, _ = runs.surroundings(marks)
+    half, gram = runs.width - runs.width // 2, runs.width // 2
+    own = np.array(numbers, np.int64)
+    low, high = np.maximum(EDGE, runs.anchors[own] - runs.last[own]), np.minimum(half - EDGE, runs.anchors[own] - runs.first[own])
+    own, low, high = (x[low <= high] for x in (own, low, high))
+    anchor, raw, eight = runs.anchors[own], np.frombuffer(runs.buffer, np.uint8), np.arange(EDGE)
+    side = lambda at: np.ascontiguousarray(raw[at[:, None] + eight]).view(np.uint64).reshape(-1)
+    keys = mix(mix(runs.keys[own] * BASE + side(anchor - EDGE)) * BASE + side(anchor + gram)) if len(own) else runs.keys[:0]
+    prefixes = (mix(keys) % np.uint64(runs.n_prefixes)).astype(np.int32)
+    order = np.argsort(prefixes, kind="stable")
+    cuts = np.flatnonzero(np.diff(prefixes[order])) + 1
+    out: list[tuple] = []
+    for rows in np.split(order, cuts) if len(order) else []:
+        spans = zip((anchor[rows] - high[rows]).tolist(), (anchor[rows] + runs.width - low[rows]).tolist(), strict=True)
+        out.append((
+            int(prefixes[rows[0]]), block, keys[rows].tobytes(), own[rows].astype(np.uint32).tobytes(), low[rows].astype(np.uint16).tobytes(),
+            high[rows].astype(np.uint16).tobytes(), b"".join([runs.buffer[x:y] for x, y in spans]), None,
+        ))
+    edges = _Edges(runs, numbers)
+    sent = B.sent(edges.hashes, edges.places, edges.bounds, block)
+    out += [(prefix, block, *[None] * 5, hashes) for prefix, hashes in zip(sent["prefix"], sent["hashes"], strict=True)]
+    return pd.DataFrame(out, columns=AROUND_COLUMNS)
 
 
 def _repeats(width: int):
-    """For the runs of a prefix: which strings, by distance from the anchor, occur twice."""
+    """For the runs of a prefix: which strings, by distance from the anchor, occur twice, and which hashes of edges."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        edges = B.met_elsewhere(frame[frame["hashes"].notna()], False)
+        told = edges.rename(columns={"prefix": "edge"}).reindex(columns=FOUND_COLUMNS)
+        return pd.concat([runs_of(frame[frame["keys"].notna()]), told])
+
+    def runs_of(frame: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=FOUND_COLUMNS)
+        if not len(frame):
+            return none
         frame = frame.sort_values("block", ignore_index=True)
         cat = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in frame[c]])
         keys, numbers = cat("keys", np.uint64), cat("numbers", np.uint32)
@@ -137,7 +192,7 @@ def _repeats(width: int):
         keys, numbers, low, high, owner, begin = (x[some] for x in (keys, numbers, low, high, owner, begin))
         n, half = len(keys), width - width // 2
         if not n:
-            return pd.DataFrame(columns=["block", "numbers", "lows", "highs"])
+            return none
         ahead, behind = width - low, high
         place = np.arange(width)
         anchor = (begin + high)[:, None]
@@ -174,7 +229,7 @@ def _repeats(width: int):
         return pd.DataFrame(
             [(b, g["number"].to_numpy(np.uint32).tobytes(), g["low"].to_numpy(np.uint16).tobytes(), g["high"].to_numpy(np.uint16).tobytes()) for b, g in rows.groupby("block")],
             columns=["block", "numbers", "lows", "highs"],
-        )
+        ).reindex(columns=FOUND_COLUMNS)
 
     return run
 
@@ -182,32 +237,34 @@ def _repeats(width: int):
 def dedup_repeated_bytes(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, spans (maximal, in bytes) and the kept bytes."""
     blocked, n_blocks = B.with_blocks(docs, block_bytes)
-    prefixes = max(64, math.ceil(n_blocks * block_bytes / PREFIX_BYTES))
+    prefixes = n_blocks
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         r = _Runs(frame, width, prefixes)
         return B.sent(r.keys, r.places, r.bounds, int(frame["block"].iloc[0]))
 
     def around(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        return _around(_Runs(frame, width, prefixes), marks, int(frame["block"].iloc[0])) if len(frame) else pd.DataFrame(columns=["prefix", "block", "keys", "numbers", "lows", "highs", "bytes"])
+        return _around(_Runs(frame, width, prefixes), marks, int(frame["block"].iloc[0])) if len(frame) else pd.DataFrame(columns=AROUND_COLUMNS)
 
     def finish(key: tuple, frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
-        marks, found = told[told["numbers"].isna()], told[told["marks"].isna()]
+        marks, found = told[told["prefix"].notna()], told[told["numbers"].notna()]
+        edges = told[told["edge"].notna()][["edge", "marks"]].rename(columns={"edge": "prefix"})
         r = _Runs(frame, width, prefixes)
-        _, _, copies = r.surroundings(marks)
-        # Ranges of starts: whole runs with a copy in the block, and what was found elsewhere.
+        numbers, copies = r.surroundings(marks)
+        at_edge = _Edges(r, numbers).repeated(edges)
+        # Ranges of starts: whole runs with a copy in the block, what was found elsewhere, and the edges.
         number = np.concatenate([[], *[np.frombuffer(x, np.uint32) for x in found["numbers"]]]).astype(np.int64)
         low = np.concatenate([[], *[np.frombuffer(x, np.uint16) for x in found["lows"]]]).astype(np.int64)
         high = np.concatenate([[], *[np.frombuffer(x, np.uint16) for x in found["highs"]]]).astype(np.int64)
         whole = np.array(copies, np.int64)
-        first = np.concatenate([r.first[whole], r.anchors[number] - high])
-        last = np.concatenate([r.last[whole], r.anchors[number] - low])
+        first = np.concatenate([r.first[whole], r.anchors[number] - high, at_edge])
+        last = np.concatenate([r.last[whole], r.anchors[number] - low, at_edge])
         steps = np.zeros(r.begins[-1] + 1, np.int32)
         np.add.at(steps, first, 1)
         np.subtract.at(steps, last + width, 1)
-        gone = np.cumsum(steps[:-1]) > 0
+        gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
         out = []
         for doc_id, text, a, b in zip(r.frame["doc_id"], r.texts, r.begins[:-1], r.begins[1:], strict=True):
             own = gone[a:b]
@@ -219,11 +276,12 @@ def dedup_repeated_bytes(docs: DataFrame, width: int = WIDTH, block_bytes: int =
             out.append((doc_id, b - a, int(own.sum()), [{"first": x, "end": y} for x, y in edges], b"".join([*kept, text[at:]])))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    marks = B.met(blocked.groupBy("block").applyInPandas(send, B.SENT), keep_first=False)
-    near = blocked.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(around, AROUND)
-    found = near.groupBy("prefix").applyInPandas(_repeats(width), FOUND)
+    by_block = blocked.repartition(n_blocks, "block").groupBy("block")
+    marks = B.met(by_block.applyInPandas(send, B.SENT), False, prefixes)
+    near = by_block.cogroup(marks.repartition(n_blocks, "block").groupBy("block")).applyInPandas(around, AROUND)
+    found = near.repartition(prefixes, "prefix").groupBy("prefix").applyInPandas(_repeats(width), FOUND)
     told = marks.unionByName(found, allowMissingColumns=True)
-    out = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(finish, RESULT)
+    out = by_block.cogroup(told.repartition(n_blocks, "block").groupBy("block")).applyInPandas(finish, RESULT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
 
 

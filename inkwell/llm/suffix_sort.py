@@ -71,17 +71,22 @@ def deep_shallow(keys: np.ndarray, rows: np.ndarray, lengths: np.ndarray, skip:
     """Order of zero-padded rows by key and then bytes; ``skip`` leading bytes are equal within a key.
 
     Multikey quicksort with characters of eight bytes orders to a depth of
-    ``shallow``; blind tries order the groups that are still equal there.
+    ``shallow``: each pass partitions the groups that are still equal by their
+    next character and leaves the settled rows alone. Blind tries order the
+    groups that are equal at that depth.
     """
     n = len(keys)
-    columns = [_words(rows, skip + k) for k in range(0, shallow, 8)]
     order = np.argsort(keys, kind="stable")
     tied = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
-    for column in columns:  # each pass partitions the groups that the last one left equal
-        group = np.cumsum(~tied)
-        order = order[np.lexsort((column[order], group))]
-        ranked = column[order]
-        tied[1:] &= ranked[1:] == ranked[:-1]
+    for at in range(skip, skip + shallow, 8):
+        open_ = tied.copy()
+        open_[:-1] |= tied[1:]
+        places = np.flatnonzero(open_)
+        group, mine = np.cumsum(~tied)[places], order[places]
+        character = _words(rows[mine], at)
+        by = np.lexsort((character, group))
+        order[places], character = mine[by], character[by]
+        tied[places[1:]] &= character[1:] == character[:-1]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], tied, [False]]).astype(np.int8)))
     for a, b in edges.reshape(-1, 2).tolist():
         members = order[a - 1 : b].tolist()

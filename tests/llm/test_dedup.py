@@ -55,6 +55,29 @@ def test_repeated_bytes_go(docs, rows):
         assert tuple(got[i])[:5] == (i, len(b), sum(gone), runs(gone), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_bytes_of_a_hot_passage_go(spark):
+    """A passage in nearly all documents, at every offset, cut at both ends, in many blocks and under one doc_id, too."""
+    import random
+
+    r = random.Random(12)
+    passage = bytes(r.randrange(97, 123) for _ in range(700)).decode()
+    text = lambda n: "".join(r.choice("abc é\n") for _ in range(n))
+    rows = [(k % 400 if k % 5 else None, text(r.randrange(60)) + passage[r.randrange(300) :][: r.randrange(180, 500)] + text(r.randrange(60))) for k in range(600)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(6)
+    seen = Counter(b[k : k + 200] for b in (t.encode() for _, t in rows) for k in range(len(b) - 199))
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = [True] * 200
+        want.append((i, len(b), sum(gone), runs(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    for block_bytes in (4096, 1 << 20):
+        got = removed_digest(dedup_repeated_bytes(df, block_bytes=block_bytes)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_repeated_windows_go(docs, rows):
     seen, got = set(), by_id(substring_digest(dedup_substrings(docs)))
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
