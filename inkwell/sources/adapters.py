@@ -71,8 +71,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 def decoded(files: DataFrame) -> DataFrame:
     """Grey rasters (path, height, width, data) of image files (path, content); those that can't be read go.
 
-    Binary grey maps (P5) are read here; other formats where the imaging
-    library of this name is installed on the executors.
+    Binary grey maps (P5) are read here, other formats where Pillow is
+    installed on the executors.
     """
     schema = "path string, height int, width int, data binary"
     arrow = [("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())]
