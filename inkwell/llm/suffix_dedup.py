@@ -34,7 +34,7 @@ from .hashing import BASE, INVERSE, batches, mix, powers
 from .suffix_sort import deep_shallow, neighbours_share
 
 WIDTH = 200
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 PLACES = np.uint64((1 << 28) - 1)
 #: Bytes on each side of an anchor by which its strings are dealt.
 EDGE = 8
@@ -115,11 +115,13 @@ def window_hashes(buffer: np.ndarray, starts: np.ndarray, width: int) -> np.ndar
     """Hashes of the strings of ``width`` bytes at these starts."""
     out = np.zeros(len(starts), np.uint64)
     padded = -(-width // 8) * 8
-    for k in range(0, len(starts), 1 << 12):
-        rows = np.zeros((len(starts[k : k + (1 << 12)]), padded), np.uint8)
-        rows[:, :width] = buffer[starts[k : k + (1 << 12), None] + np.arange(width)]
-        h = out[k : k + (1 << 12)]
-        for column in rows.view(np.uint64).T:
+    windows = np.lib.stride_tricks.sliding_window_view(buffer, width) if len(starts) else None
+    for k in range(0, len(starts), 1 << 14):
+        some = starts[k : k + (1 << 14)]
+        rows = np.zeros((len(some), padded), np.uint8)
+        rows[:, :width] = windows[some]
+        h = out[k : k + (1 << 14)]
+        for column in np.ascontiguousarray(rows.view(np.uint64).T):
             h[:] = mix(h * BASE + column)
     return out
 
@@ -237,7 +239,7 @@ def _repeats(width: int):
 def dedup_repeated_bytes(docs: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, spans (maximal, in bytes) and the kept bytes."""
     blocked, n_blocks = B.with_blocks(docs, block_bytes)
-    prefixes = n_blocks
+    prefixes = -(-n_blocks // 4)  # what is sent is a fraction of the text
 
     def send(frame: pd.DataFrame) -> pd.DataFrame:
         r = _Runs(frame, width, prefixes)
