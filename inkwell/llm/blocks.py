@@ -137,9 +137,9 @@ def met_elsewhere(frame: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "prefix", "marks"])
 
 
-def met(rows: DataFrame, keep_first: bool, prefixes: int) -> DataFrame:
+def met(rows: DataFrame, keep_first: bool, tasks: int) -> DataFrame:
     """What ``met_elsewhere`` tells of all prefixes."""
-    return rows.repartition(prefixes, "prefix").groupBy("prefix").applyInPandas(lambda frame: met_elsewhere(frame, keep_first), MARKS)
+    return rows.repartition(tasks, "prefix").groupBy("prefix").applyInPandas(lambda frame: met_elsewhere(frame, keep_first), MARKS)
 
 
 def marked_places(marks: pd.DataFrame, places: np.ndarray, begins: np.ndarray) -> np.ndarray:

@@ -279,9 +279,9 @@ def dedup_repeated_bytes(docs: DataFrame, width: int = WIDTH, block_bytes: int =
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     by_block = blocked.repartition(n_blocks, "block").groupBy("block")
-    marks = B.met(by_block.applyInPandas(send, B.SENT), False, prefixes)
+    marks = B.met(by_block.applyInPandas(send, B.SENT), False, n_blocks)
     near = by_block.cogroup(marks.repartition(n_blocks, "block").groupBy("block")).applyInPandas(around, AROUND)
-    found = near.repartition(prefixes, "prefix").groupBy("prefix").applyInPandas(_repeats(width), FOUND)
+    found = near.repartition(n_blocks, "prefix").groupBy("prefix").applyInPandas(_repeats(width), FOUND)
     told = marks.unionByName(found, allowMissingColumns=True)
     out = by_block.cogroup(told.repartition(n_blocks, "block").groupBy("block")).applyInPandas(finish, RESULT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.NO_ID, F.col("doc_id")))
