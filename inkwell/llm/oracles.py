@@ -148,7 +148,39 @@ g AS (SELECT *, CASE WHEN o IS NULL THEN 'no_antecedent' WHEN coalesce(sent = o.
 SELECT record_id, CASE WHEN url IS NOT NULL THEN canonical END AS canonical, ts, o.id AS refers_to, status, CASE WHEN status = 'resolved' THEN 'cache-control: max-age=90' || chr(10) || 'content-length: ' || o.length
  || chr(10) || 'content-type: text/html' || chr(10) || 'date: at ' || page || chr(10) || 'etag: ' || o.tag END AS headers, CASE WHEN status = 'resolved' THEN o.digest END AS digest, CASE WHEN status = 'resolved' THEN o.length END AS length FROM g"""
 
+_TERMS = "regexp_extract_all(" + LOWER.format(c="text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) q GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, n_docs),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM (SELECT i, item_id, unnest(w) AS term FROM i) q JOIN f USING (term) JOIN p USING (term), c GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) q WHERE rank <= 50"""
+
+# DuckDB has no crc32; this is the bitwise rule of its polynomial over the digits of conv_id.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT)"
+)
+PREFIX_TRIE = f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id AS c, count(*) AS own, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+m AS (SELECT n.*, least(n.h, coalesce(b.own, 0)) AS head FROM n LEFT JOIN n b ON b.c = n.base),
+z AS (SELECT c, head + greatest(own - h, 0) AS len FROM m),
+r AS (SELECT m.c, o.k + 1 AS d, o.t, o.chars FROM m JOIN o ON o.c = m.base AND o.k < m.h UNION ALL SELECT m.c, o.k - m.h + m.head + 1, o.t, o.chars FROM m JOIN o ON o.c = m.c AND o.k >= m.h),
+p AS (SELECT c, d, string_agg(t, '') OVER (PARTITION BY c ORDER BY d) AS p, chars FROM r UNION ALL SELECT c, 0, '', 0 FROM z),
+nodes AS (SELECT p, d, min(c) AS c, CAST(count(*) AS BIGINT) AS n_convs, any_value(chars) AS chars FROM p GROUP BY p, d),
+up AS (SELECT x.*, y.c AS parent FROM nodes x LEFT JOIN nodes y ON y.d = x.d - 1 AND y.p = left(x.p, CAST(32 * (x.d - 1) AS INT))),
+kids AS (SELECT parent AS c, d - 1 AS d, CAST(count(*) AS BIGINT) AS n_children FROM up WHERE d > 0 GROUP BY 1, 2),
+own AS (SELECT u.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS saved FROM up u LEFT JOIN kids USING (c, d)),
+below AS (SELECT a.p, CAST(sum((own.n_children = 0)::INT) AS BIGINT) AS n_leaves, CAST(sum(own.saved) AS BIGINT) AS saved_tokens FROM own JOIN p a ON a.c = own.c AND a.d <= own.d GROUP BY a.p),
+ends AS (SELECT p.p, string_agg(CAST(z.c AS VARCHAR), ',' ORDER BY z.c) AS ends FROM z JOIN p ON p.c = z.c AND p.d = z.len GROUP BY p.p)
+SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM own JOIN below USING (p) LEFT JOIN ends USING (p)"""
+
 ORACLE_SQL = {
     "op2_mixing": MIXING, "op3_suffix_dedup": REPEATED_BYTES, "op4_decontamination": CONTAMINATION, "op5_near_dedup": NEAR_DUPLICATES,
     "op6_license_scan": LICENSES, "op7_substring_dedup": REPEATED_WINDOWS, "op9_quality_rules": QUALITY, "op10_warc_revisits": REVISITS,
+    "op11_lexical_search": LEXICAL_SEARCH, "op12_prefix_trie": PREFIX_TRIE,
 }

@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table."""
+"""The operators as registered queries, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .common import read, shared_path
 from .decontamination import find_contamination
+from .lexical_search import search
 from .license_scan import scan_licenses
 from .mixing import mix_report
 from .near_dedup import near_duplicates
+from .prefix_trie import rebuilt_trie
 from .quality_rules import quality_report
 from .sharding import read_shards, shard_digest, shuffle_into_shards, write_shards
+from .simhash import simhash_duplicates
 from .substring_dedup import dedup_substrings, substring_digest
 from .suffix_dedup import dedup_repeated_bytes, removed_digest
 from .token_output import read_token_digests, write_tokens
@@ -70,11 +73,24 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(records_of_pages(read(spark, sf_dir, "pages")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_mixing, op3_suffix_dedup, op4_decontamination, op5_near_dedup, op6_license_scan,
         op7_substring_dedup, op8_sharding, op9_quality_rules, op10_warc_revisits,
+        op11_lexical_search, op12_prefix_trie, op13_simhash_dedup,
     )
 }
 
