@@ -64,10 +64,10 @@ def label_split(rows: DataFrame, label: Column, key: str, counts=split_counts, s
 
 
 def group_split(rows: DataFrame, group: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """(group, split): whole groups, test first, in seeded order. One row a group; the numbering is over groups only."""
-    groups = rows.select(group).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    ranked = groups.withColumns({"_rank": F.row_number().over(Window.orderBy(seeded(seed, F.col(group)), F.col(group))), "_n": n})
+    """(group, split): whole groups, test first, in seeded order, a row each."""
+    groups = rows.select(group).distinct().withColumn("_at", seeded(seed, F.col(group)))
+    ranked = numbered(groups, ["_at", group], "_rank").withColumn("_rank", F.col("_rank") + 1)
+    ranked = ranked.withColumn("_n", F.lit(ranked.count()))
     n = F.col("_n")
     tests = F.when((n > 2) & F.lit(test > 0), F.greatest(F.lit(1), _share(n, test))).otherwise(F.lit(0))
     vals = F.when((n - tests > 1) & F.lit(val > 0), F.greatest(F.lit(1), _share(n, val))).otherwise(F.lit(0))
@@ -106,8 +106,10 @@ def rebased(path: Column, folder: str) -> Column:
 
 
 def numbered_in(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """0, 1, ... inside each group."""
-    return rows.withColumn(out, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    """0, 1, ... inside each group, of which a few may hold all rows: all are numbered in one order, and each group counts from its first."""
+    every = numbered(rows, [group, *order], "_number")
+    first = every.groupBy(F.col(group).alias("_of")).agg(F.min("_number").alias("_first"))
+    return every.join(first, F.col(group).eqNullSafe(F.col("_of"))).withColumn(out, F.col("_number") - F.col("_first")).drop("_number", "_of", "_first")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the order, and sampled rows for each from which their bounds are taken.
-PARTS, SAMPLED = 256, 20
+from .tables import written
 
-
-def _at_or_below(bounds: list, key: Column) -> Column:
-    """How many bounds are at or below the key, looked up in two levels."""
-    if not bounds:
-        return F.lit(0)
-    groups = [bounds[k : k + 16] for k in range(0, len(bounds), 16)]
-    lit = lambda rows: F.array(*[F.struct(*[F.lit(x) for x in r]) for r in rows])
-    group = F.size(F.filter(lit([g[0] for g in groups]), lambda b: b <= key)) - 1
-    inside = F.size(F.filter(F.get(F.array(*[lit(g) for g in groups]), group), lambda b: b <= key))
-    return F.when(group < 0, F.lit(0)).otherwise(group * 16 + inside)
+#: Rows that one task sorts, and the bits of a row number that count inside a partition.
+TASK_ROWS, ROW_BITS = 1_000_000, 33
 
 
 def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
-    """``rows`` with ``out``: 0, 1, ... in this order, whose columns must have no nulls.
+    """``rows`` with ``out``: 0, 1, ... in this order, nulls first; rows equal in it stand in any order.
 
-    Ranges of the order are numbered on their own and get the count of all rows
-    ahead. Their bounds come from a sample, so only the balance depends on it.
+    Ranges of the order, one for each ``TASK_ROWS``, are sorted by Spark and
+    written once; each row gets its place in its range and the rows of all ranges
+    ahead. Of the ranges themselves there is one row each.
     """
-    n = rows.count()
-    sampled = rows.select(*order).sample(min(1.0, PARTS * SAMPLED / max(n, 1)), 1).distinct().orderBy(*order).limit(4 * PARTS * SAMPLED).collect()
-    bounds = [tuple(sampled[k * len(sampled) // PARTS]) for k in range(1, PARTS)] if len(sampled) >= PARTS else []
-    ranged = rows.withColumn("_range", _at_or_below(bounds, F.struct(*order)))
-    ahead = Window.orderBy("_range_of").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(F.col("_range").alias("_range_of")).agg(F.count("*").alias("_rows"))
-    counts = counts.select("_range_of", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    joined = ranged.withColumn("_inside", inside).join(counts, F.col("_range") == F.col("_range_of"))
-    return joined.withColumn(out, F.col("_ahead") + F.col("_inside")).drop("_range", "_range_of", "_inside", "_ahead")
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged").withColumn("_range", F.shiftright("_place", ROW_BITS))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(F.col("_range").alias("_of")).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    ranges = ranges.select("_of", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_ahead"))
+    joined = ranged.join(ranges, F.col("_range") == F.col("_of"))
+    return joined.withColumn(out, F.col("_place") + F.col("_ahead")).drop("_place", "_range", "_of", "_ahead")

@@ -47,7 +47,7 @@ def split_tree(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame
     """
     rank = numbered_in(rows, "split", ["source_dataset", "image"], "_rank")
     suffix = F.lower(F.regexp_extract("image", r"(\.[^./]+)$", 1))
-    name = F.concat(F.lpad(F.col("_rank").cast("string"), 6, "0"), F.lit("_"), safe_name(F.col("source_dataset")), suffix)
+    name = F.concat(F.format_string("%06d_", "_rank"), safe_name(F.col("source_dataset")), suffix)
     content = ["content"] if "content" in rows.columns else []
     out = rank.select("split", name.alias("IMAGE"), F.col("label").alias("MEDICINE_NAME"), F.col("source_dataset").alias("SOURCE_DATASET"), F.col("source_image").alias("SOURCE_IMAGE"), F.col("image").alias("source"), *content)
     splits(out, path, overwrite)

@@ -79,7 +79,7 @@ def test_candidates_and_matches(spark, lexicon):
 def test_lexicon_in_blocks(spark, lexicon):
     """Blocks of one name each give what one block gives."""
     df = spark.createDataFrame([(x,) for x in LINES if x is not None], "text string")
-    found = {r["text"]: (r["drug"], r["score"], r["matched_candidate"]) for r in best_matches(df, "text", lexicon, block_bytes=8).collect()}
+    found = {r["text"]: (r["drug"], r["score"], r["matched_candidate"]) for r in best_matches(df, "text", lexicon).collect()}
     assert found == {x: best(x) for x in LINES if x is not None}
     assert best_matches(df, "text", lexicon.limit(0)).where("drug <> '' OR score > 0").isEmpty()
 
