@@ -7,9 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from ..functions.text import normalize_text
 from .numbering import numbered
 
+# The ranges of random changes, and the chance of a blur and of noise.
+DRAWN = {
+    "degrees": (-4.0, 4.0), "scale": (0.94, 1.08), "shift_x": (-0.06, 0.06), "shift_y": (-0.06, 0.06), "contrast": (0.82, 1.18), "brightness": (-0.18, 0.18),
+}
+CHANCE = 0.15
+
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """All sources, tagged, with columns matched by name."""
@@ -129,11 +136,5 @@ def latest(files: DataFrame, group: str, path: str, time: str) -> DataFrame:
 
 def augmentation_draws(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """``rows`` with the parameters of a random change, the same for every run: degrees, scale, shifts, contrast, brightness, blur and noise."""
-    def uniform(name: str, low: float, high: float) -> Column:
-        share = F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}:{name}"), key), 11) / float(1 << 53)
-        return low + share * (high - low)
-
-    return rows.withColumns({
-        "degrees": uniform("degrees", -4, 4), "scale": uniform("scale", 0.94, 1.08), "shift_x": uniform("shift_x", -0.06, 0.06), "shift_y": uniform("shift_y", -0.06, 0.06),
-        "contrast": uniform("contrast", 0.82, 1.18), "brightness": uniform("brightness", -0.18, 0.18), "blur": uniform("blur", 0, 1) < 0.15, "noise": uniform("noise", 0, 1) < 0.15,
-    })
+    of = lambda name, low, high: uniform(seed, name, F.col(key), low, high)
+    return rows.withColumns({**{name: of(name, *ends) for name, ends in DRAWN.items()}, "blur": of("blur", 0, 1) < CHANCE, "noise": of("noise", 0, 1) < CHANCE})

@@ -27,30 +27,54 @@ MEASURED = {
     "bits": ("binary", pa.binary()), "components": (_DDL, pa.list_(_COMPONENT)), "row_ink": ("array<int>", _INTS),
     "row_first": ("array<int>", _INTS), "row_last": ("array<int>", _INTS),
 }
+#: Pixels that one task takes.
+TASK_PIXELS = 64 << 20
 SPREAD = {"spread_ink": ("array<int>", _INTS), "blobs": (_DDL, pa.list_(_COMPONENT))}
 
 
-def _appended(rows: DataFrame, fields: dict[str, tuple], make: Callable[[dict], tuple]) -> DataFrame:
-    """``rows`` with the columns that ``make`` gives for each row."""
+def _array(value, kind: pa.DataType) -> pa.Array:
+    """One value as an array; lists of structs may come as a matrix with a column for each field."""
+    if isinstance(value, np.ndarray) and value.ndim == 2:
+        fields = [pa.array(np.ascontiguousarray(value[:, k]), f.type) for k, f in enumerate(kind.value_type)]
+        return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.StructArray.from_arrays(fields, [f.name for f in kind.value_type]))
+    return pa.array([value], kind)
+
+
+def _appended(rows: DataFrame, fields: dict[str, tuple], make: Callable[[dict], tuple], needs: list[str]) -> DataFrame:
+    """``rows`` with the columns that ``make`` gives for each row, which sees the columns that it needs."""
     schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T._parse_datatype_string(ddl)) for k, (ddl, _) in fields.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # A few images at a time: rasters are large.
+            # An image at a time: rasters are large.
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
-                made = make(part.to_pylist()[0])
-                arrays = [pa.array([value], kind) for value, (_, kind) in zip(made, fields.values(), strict=True)]
+                made = make({c: part.column(c)[0].as_py() for c in needs})
+                arrays = [_array(value, kind) for value, (_, kind) in zip(made, fields.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*part.schema.names, *fields])
 
     return rows.mapInArrow(run, schema)
 
 
-def _boxed(binary: np.ndarray, of: np.ndarray | None = None) -> list[dict]:
-    """Components of a raster; with ``of``, their area is the ink of that raster in their box."""
-    found = R.components(binary)
-    ink = (lambda x, y, w, h, area: area) if of is None else (lambda x, y, w, h, area: int(of[y : y + h, x : x + w].sum()))
-    return [{"x": x, "y": y, "w": w, "h": h, "area": ink(x, y, w, h, area)} for x, y, w, h, area in found]
+def dealt(images: DataFrame, task_pixels: int = TASK_PIXELS) -> DataFrame:
+    """``images`` (height, width, ...) in as many tasks as their pixels need, before a costly kernel; small tables keep all cores busy."""
+    pixels = images.agg(F.sum(F.col("height").cast("long") * F.col("width"))).first()[0] or 0
+    return images.repartition(max(images.sparkSession.sparkContext.defaultParallelism, -(-pixels // task_pixels)))
+
+
+def _grey(row: dict) -> np.ndarray:
+    return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"])
+
+
+def _boxed(found: list[tuple], of: np.ndarray | None = None) -> np.ndarray:
+    """Components as a matrix; with ``of``, their area is the ink of that raster in their box."""
+    boxes = np.array(found, np.int64).reshape(-1, 5)
+    if of is not None and len(boxes):
+        sums = np.zeros((of.shape[0] + 1, of.shape[1] + 1), np.int64)
+        np.cumsum(np.cumsum(of, axis=0, dtype=np.int64), axis=1, out=sums[1:, 1:])
+        x1, y1, x2, y2 = boxes[:, 0], boxes[:, 1], boxes[:, 0] + boxes[:, 2], boxes[:, 1] + boxes[:, 3]
+        boxes[:, 4] = sums[y2, x2] - sums[y1, x2] - sums[y2, x1] + sums[y1, x1]
+    return boxes
 
 
 def _unpacked(row: dict) -> np.ndarray:
@@ -61,23 +85,23 @@ def _unpacked(row: dict) -> np.ndarray:
 def measured(images: DataFrame) -> DataFrame:
     """``images`` without data, with the ink as bits, its components, the ink of each row and where it begins and ends."""
     def make(row: dict) -> tuple:
-        ink = R.handwriting(np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"]))
-        some = ink.any(axis=1)
-        ends = [[int(v) if s else None for v, s in zip(at, some, strict=True)] for at in (ink.argmax(axis=1), row["width"] - 1 - ink[:, ::-1].argmax(axis=1))]
-        return np.packbits(ink).tobytes(), _boxed(ink), ink.sum(axis=1, dtype=np.int32).tolist(), *ends
+        ink = R.handwriting(_grey(row))
+        blank = ~ink.any(axis=1)
+        ends = [pa.array(at.astype(np.int32), mask=blank) for at in (ink.argmax(axis=1), row["width"] - 1 - ink[:, ::-1].argmax(axis=1))]
+        return np.packbits(ink).tobytes(), _boxed(R.components(ink)), ink.sum(axis=1, dtype=np.int32), *ends
 
     whole = F.col("data").isNotNull() & (F.octet_length("data") == F.col("height") * F.col("width"))
-    return _appended(images.where(whole), MEASURED, make).drop("data")
+    return _appended(images.where(whole), MEASURED, make, ["height", "width", "data"]).drop("data")
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """``rows`` with the row sums of the ink spread by kernel_w and kernel_h, and its blobs with their ink by blob_w and blob_h."""
+    """``rows`` with the row sums of the ink spread by kernel_w and kernel_h, and the outer blobs with their ink by blob_w and blob_h."""
     def make(row: dict) -> tuple:
         ink = _unpacked(row)
-        sums = R.spread(ink, row["kernel_w"], row["kernel_h"]).sum(axis=1, dtype=np.int32).tolist()
-        return sums, _boxed(R.spread(ink, row["blob_w"], row["blob_h"]), ink)
+        sums = R.spread(ink, row["kernel_w"], row["kernel_h"]).sum(axis=1, dtype=np.int32)
+        return sums, _boxed(R.outermost(R.spread(ink, row["blob_w"], row["blob_h"])), ink)
 
-    return _appended(rows, SPREAD, make)
+    return _appended(rows, SPREAD, make, ["height", "width", "bits", "kernel_w", "kernel_h", "blob_w", "blob_h"])
 
 
 def component_stats(components: Column, width: Column, height: Column, least_area: int, most_width: float, most_height: float) -> Column:
@@ -181,7 +205,7 @@ def detect_lines(images: DataFrame, min_height: int = 14, gap: int = 5) -> DataF
     """``images`` without data, with boxes (of their lines) and what is known of them: method, quality_flag, counts and medians.
 
     Three generators propose lines; the best set is cut apart at the valleys
-    between its lines. Blobs stand for external contours.
+    between its lines.
     """
     w, h = F.col("width"), F.col("height")
     rows = measured(images)
@@ -239,9 +263,9 @@ def detect_words(images: DataFrame, min_width: int = 8, min_height: int = 8, gap
 
     def columns(row: dict) -> tuple:
         ink = _unpacked(row)
-        return ([ink[b["y1"] : b["y2"], b["x1"] : b["x2"]].sum(axis=0, dtype=np.int32).tolist() for b in row["words"]],)
+        return ([ink[b["y1"] : b["y2"], b["x1"] : b["x2"]].sum(axis=0, dtype=np.int32) for b in row["words"]],)
 
-    rows = _appended(rows, {"column_ink": ("array<array<int>>", pa.list_(_INTS))}, columns)
+    rows = _appended(rows, {"column_ink": ("array<array<int>>", pa.list_(_INTS))}, columns, ["height", "width", "bits", "words"])
     parts = F.flatten(F.transform("words", lambda b, k: L.split_at_valleys(b, F.get("column_ink", k), mw, mh, F.col("word_gap"))))
     rows = rows.withColumn("boxes", L.in_order(F.filter(parts, lambda b: word_fits(b, w, h, min_width, min_height)), "x1", "y1"))
     return rows.select(
@@ -264,10 +288,9 @@ def text_areas(pages: DataFrame) -> DataFrame:
     kind = pa.struct([(k, pa.int32()) for k in ("x1", "y1", "x2", "y2")])
 
     def make(row: dict) -> tuple:
-        found = R.text_area(np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"]))
-        return (dict(zip(("x1", "y1", "x2", "y2"), found, strict=True)),)
+        return (dict(zip(("x1", "y1", "x2", "y2"), R.text_area(_grey(row)), strict=True)),)
 
-    return _appended(pages, {"area": ("struct<x1:int,y1:int,x2:int,y2:int>", kind)}, make)
+    return _appended(pages, {"area": ("struct<x1:int,y1:int,x2:int,y2:int>", kind)}, make, ["height", "width", "data"])
 
 
 def regions(pages: DataFrame, boxes: DataFrame | None = None, full_page: bool = False) -> DataFrame:
@@ -330,7 +353,7 @@ def drawn(pages: DataFrame, paper: int = 240, ink: int = 60) -> DataFrame:
             page[b["y1"] : b["y2"], b["x1"] : b["x2"]] = ink
         return (page.tobytes(),)
 
-    return _appended(pages, {"data": ("binary", pa.binary())}, make)
+    return _appended(pages, {"data": ("binary", pa.binary())}, make, ["height", "width", "boxes"])
 
 
 def masked(images: DataFrame, rectangles: DataFrame) -> DataFrame:
@@ -339,24 +362,23 @@ def masked(images: DataFrame, rectangles: DataFrame) -> DataFrame:
     joined = images.join(mine, "image_id", "left").withColumn("_rectangles", F.coalesce("_rectangles", F.array().cast("array<array<int>>")))
 
     def make(row: dict) -> tuple:
-        page = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"])
-        return R.mask(page, [tuple(r) for r in row["_rectangles"]]).tobytes(), len(row["_rectangles"])
+        return R.mask(_grey(row), [tuple(r) for r in row["_rectangles"]]).tobytes(), len(row["_rectangles"])
 
-    black = _appended(joined, {"_masked": ("binary", pa.binary()), "mask_count": ("int", pa.int32())}, make)
+    black = _appended(joined, {"_masked": ("binary", pa.binary()), "mask_count": ("int", pa.int32())}, make, ["height", "width", "data", "_rectangles"])
     return black.withColumn("data", F.col("_masked")).drop("_masked", "_rectangles")
 
 
 def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """A row (image_id, row, height, width, data) for each box (image_id, row, x1..y2) that holds pixels."""
     def make(row: dict) -> tuple:
-        part = R.crop(np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"]), row["x1"], row["y1"], row["x2"], row["y2"])
+        part = R.crop(_grey(row), row["x1"], row["y1"], row["x2"], row["y2"])
         return np.ascontiguousarray(part).tobytes(), part.shape[0], part.shape[1]
 
     fields = {"_crop": ("binary", pa.binary()), "_height": ("int", pa.int32()), "_width": ("int", pa.int32())}
-    made = _appended(images.join(boxes, "image_id"), fields, make).where("_height > 0 AND _width > 0")
+    made = _appended(images.join(boxes, "image_id"), fields, make, ["height", "width", "data", "x1", "y1", "x2", "y2"]).where("_height > 0 AND _width > 0")
     return made.select("image_id", "row", F.col("_height").alias("height"), F.col("_width").alias("width"), F.col("_crop").alias("data"))
 
 
 def grey_sums(images: DataFrame) -> DataFrame:
     """``images`` with grey: the sum of their pixels."""
-    return _appended(images, {"grey": ("bigint", pa.int64())}, lambda row: (int(np.frombuffer(row["data"], np.uint8).sum(dtype=np.int64)),))
+    return _appended(images, {"grey": ("bigint", pa.int64())}, lambda row: (int(np.frombuffer(row["data"], np.uint8).sum(dtype=np.int64)),), ["data"])

@@ -204,7 +204,7 @@ def _drawn(spark, sf_dir) -> DataFrame:
     x, y = 16 + 90 * (F.col("y") / 25).cast("int"), 10 + 8 * (F.col("y") % 25)
     strokes = ink.select("region_id", L.box(x, y, x + 6 * F.col("ink"), y + 5).alias("b"))
     pages = strokes.groupBy("region_id").agg(F.array_sort(F.collect_list("b")).alias("boxes"))
-    return S.drawn(pages.select(F.col("region_id").alias("image_id"), F.lit(224).alias("height"), F.lit(400).alias("width"), "boxes"))
+    return S.drawn(S.dealt(pages.select(F.col("region_id").alias("image_id"), F.lit(224).alias("height"), F.lit(400).alias("width"), "boxes")))
 
 
 @query()

@@ -38,6 +38,21 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     assert sorted_rows(df.select(*columns).collect()) == sorted_rows([tuple(r[k] for k in at) for r in found.fetchall()])
 
 
+#: Queries whose plan depends on the number of rows, over more of them.
+MORE = ["annotator_shards", "lexicon_best_match", "lexicon_demo_match", "raster_nesting", "raster_tiles"]
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_query_over_more_rows(spark, name):
+    folder = SF_DIR.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for p in Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    found = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    assert sorted_rows(QUERIES[name](spark, folder).select(*columns).collect()) == sorted_rows(found.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_gives_rows_twice_alike(spark, name):
     first = QUERIES[name](spark, SF_DIR)

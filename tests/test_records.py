@@ -4,6 +4,7 @@ import json
 import random
 import re
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -39,33 +40,31 @@ def norm(text):
 
 
 def clean(text):
-    text = re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", norm(text))
-    for p in (T.FORMS, T.DOSAGE, T.FREQUENCY, T.ROUTE):
-        text = re.sub(p, "", text, flags=re.I)
-    return norm(text)
+    without = reduce(lambda rest, p: re.sub(p, "", rest, flags=re.I), (r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", T.FORMS, T.DOSAGE, T.FREQUENCY, T.ROUTE), norm(text))
+    return norm(without)
 
 
 def candidates(text):
-    whole = clean(text)
-    tokens = re.findall(r"[A-Za-z][A-Za-z0-9-]*", whole)
-    seen = {}
-    for c in map(clean, [whole, *tokens, *[f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]]):
-        if len(c) > 1 and c.lower() not in T.STOP_TOKENS:
-            seen.setdefault(c.lower(), c)
-    return list(seen.values())
-
-
-def best(text):
-    top = ("", 0.0, "")
-    for c in candidates(text):
-        for name in sorted({norm(n) for n in NAMES} - {""}):
-            a, b = c.lower(), name.lower()
-            s = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-            if a != b and (a in b or b in a):
-                s = max(s, min(len(a), len(b)) / max(len(a), len(b)))
-            if s > top[1] or (s == top[1] and len(name) > len(top[0])):
-                top = (name, s, c)
-    return top[0], round(top[1], 4), top[2]
+    """Of all spellings the first, by the place where it comes up."""
+    tokens = re.findall(r"[A-Za-z][A-Za-z0-9-]*", clean(text))
+    pieces = [clean(c) for c in [clean(text)] + tokens + [" ".join(tokens[k : k + 2]) for k in range(len(tokens) - 1)]]
+    fit = [c for c in pieces if len(c) > 1 and c.lower() not in T.STOP_TOKENS]
+    return [c for k, c in enumerate(fit) if c.lower() not in {x.lower() for x in fit[:k]}]
+
+
+def alike(a, b):
+    inside = min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0.0
+    return max(inside, SequenceMatcher(None, a, b).ratio())
+
+
+def best(text, known=NAMES):
+    """The largest of all pairs by score, length of the name, place of the candidate and place of the name."""
+    names = sorted({norm(n) for n in known} - {""})
+    pairs = [(alike(c.lower(), n.lower()), len(n), -i, -j) for i, c in enumerate(candidates(text)) for j, n in enumerate(names)]
+    if not pairs:
+        return "", 0.0, ""
+    score, _, i, j = max(pairs)
+    return names[-j], round(score, 4), candidates(text)[-i]
 
 
 def test_candidates_and_matches(spark, lexicon):
@@ -76,12 +75,22 @@ def test_candidates_and_matches(spark, lexicon):
     assert found == {x: best(x) for x in LINES if x is not None}
 
 
-def test_lexicon_in_blocks(spark, lexicon):
-    """Blocks of one name each give what one block gives."""
+def test_no_lexicon_no_match(spark, lexicon):
     df = spark.createDataFrame([(x,) for x in LINES if x is not None], "text string")
-    found = {r["text"]: (r["drug"], r["score"], r["matched_candidate"]) for r in best_matches(df, "text", lexicon).collect()}
-    assert found == {x: best(x) for x in LINES if x is not None}
     assert best_matches(df, "text", lexicon.limit(0)).where("drug <> '' OR score > 0").isEmpty()
+    assert best_matches(df.limit(0), "text", lexicon).isEmpty()
+
+
+def test_large_lexicon(spark):
+    """Names of many lengths, letters and kinds, with near ones, parts and repeats: the joins find what comparing all pairs finds."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdeilnorstuéß", k=r.randint(1, 9)))
+    names = [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(150)]
+    names += [n.upper() for n in names[:10]] + [n[:-1] for n in names[10:40]] + [n + "a" for n in names[40:60]] + ["q", "zzzz", "xyxyxyxy" * 30]
+    texts = [n.replace("e", "a") for n in names[::3]] + [word() + " " + word() for _ in range(60)] + ["kkkk", "jw", "w" * 40, "abc " * 60, *LINES[:5]]
+    lex = load_lexicon(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    found = {x["text"]: (x["drug"], x["score"], x["matched_candidate"]) for x in best_matches(spark.createDataFrame([(t,) for t in texts], "text string"), "text", lex).collect()}
+    assert found == {t: best(t, names) for t in texts}
 
 
 def test_demo_matches(spark, lexicon):
@@ -104,6 +113,28 @@ def test_numbers_of_rows(spark):
     assert numbered(df.limit(0), ["a"], "n").isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "date", "decimal(12,2)", "short", "string", "timestamp"])
+def test_numbers_of_any_type(spark, kind):
+    values = {"date": "date_add(date'2020-01-01', cast(id % 701 as int))", "timestamp": "timestamp_seconds(id * 7919 % 100003)"}
+    df = spark.range(3000).selectExpr(f"cast({values.get(kind, '(id * 7919) % 3001')} as {kind}) AS a", "id AS b").repartition(5)
+    got = numbered(df, ["a", "b"], "n").collect()
+    assert [(x["a"], x["b"]) for x in sorted(got, key=lambda x: x["n"])] == sorted((x["a"], x["b"]) for x in got)
+    assert sorted(x["n"] for x in got) == list(range(3000))
+
+
+def test_numbers_with_nulls_in_groups(spark):
+    df = spark.createDataFrame([("a", 3), ("a", None), (None, 1), (None, 0), ("b", 5), ("a", 3)], "g string, v int")
+    got = sorted(((x["g"] or "", -1 if x["v"] is None else x["v"], x["n"]) for x in D.numbered_in(df, "g", ["v"], "n").collect()))
+    assert got == [("", 0, 0), ("", 1, 1), ("a", -1, 0), ("a", 3, 1), ("a", 3, 2), ("b", 5, 0)]
+
+
+def test_image_names_of_a_large_split_differ(spark, tmp_path):
+    rows = spark.range(1_000_003).selectExpr("'train' AS split", "concat(id, '.PNG') AS image", "'x' AS label", "'web' AS source_dataset", "'s' AS source_image")
+    tree = sinks.split_tree(rows, str(tmp_path / "t"))
+    assert tree.select("IMAGE").distinct().count() == 1_000_003
+    assert {r["IMAGE"] for r in tree.where("source in ('0.PNG', '1.PNG')").collect()} == {"000000_web.png", "000001_web.png"}
+
+
 def test_entities(spark, lexicon):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)], "id long, text string")
     got = {r["id"]: r for r in E.parse_entities(df, "text", lexicon).collect()}
