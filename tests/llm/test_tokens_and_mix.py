@@ -6,12 +6,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from inkwell.llm.mixing import mix_report, mixed_documents
 from inkwell.llm.queries import TOKENIZER, token_rows
+from inkwell.llm import sharding
 from inkwell.llm.sharding import read_shards, shard_digest, shuffle_into_shards, write_shards
 from inkwell.llm.token_output import Encoder, encoder, make_block, pack, read_block, slices, unpack
 
@@ -176,3 +178,21 @@ def test_shards_of_repeated_rows(spark):
 def test_shards_of_odd_and_empty_tables(odd, nothing):
     assert shard_digest(shuffle_into_shards(odd)).count() == odd.count()
     assert shard_digest(shuffle_into_shards(nothing)).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "value"), [("map<string,int>", "map('k', cast(id as int), 'a', 1)"), ("array<struct<m:map<string,int>>>", "array(named_struct('m', map('k', cast(id as int))))")])
+def test_shards_keep_rows_that_differ_in_a_map(spark, kind, value):
+    df = spark.range(1200).selectExpr("1L AS doc_id", "'same' AS text", f"cast({value} as {kind}) AS extra")
+    got = shuffle_into_shards(df).collect()
+    assert len({str(r["extra"]) for r in got}) == len(got) == 1200
+    place = lambda found: sorted((str(r["extra"]), r["shard"], r["slot"]) for r in found)
+    assert place(got) == place(shuffle_into_shards(df.repartition(3)).collect())
+
+
+def test_shards_lose_nothing_where_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "row_hash", lambda seed, columns: F.lit(7).cast("long"))
+    rows = [(k, f"text {k}", k % 3) for k in range(1500)]
+    got = shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["text"], r["n"]) for r in got) == rows
+    by = Counter(r["shard"] for r in got)
+    assert len(by) == 40 and max(by.values()) - min(by.values()) <= 1 and len({r["bucket"] for r in got}) == 16
