@@ -40,6 +40,8 @@ BLOCK_IDS = 1 << 16
 REMEMBERED = 250_000
 #: Bytes of text that are cut into chunks at once; a longer text is cut alone.
 SLICE_BYTES = 1 << 22
+#: Bytes of text that one task encodes, and what a row weighs besides its text.
+TASK_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def bits_for(vocabulary: int) -> int:
@@ -271,9 +273,10 @@ def write_tokens(
     """Write the token table of ``docs`` to ``path``; the tokenizer file must be readable by executors."""
     if vocabulary is None:
         vocabulary = max(end_id + 1, encoder(tokenizer_path).tokenizer.get_vocab_size(with_added_tokens=True))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES)).first()[0] or 0
     (
         docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("_ik_tie"))
-        .repartitionByRange("doc_id", "_ik_tie").sortWithinPartitions("doc_id", "_ik_tie")
+        .repartitionByRange(max(8, -(-n_bytes // TASK_BYTES)), "doc_id", "_ik_tie").sortWithinPartitions("doc_id", "_ik_tie")
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
         .mapInArrow(encoded_blocks(tokenizer_path, end_id, vocabulary, block_ids), BLOCKS)
         .write.option("compression", "zstd").parquet(path)
