@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import png
 from ..functions.text import compose_id, file_stem, normalize_text, safe_id
 from ..operators.datasets import adapted, union_sources
 from ..operators.numbering import numbered
+from .files import exists
 from .readers import images, manifest
 
 SAMPLES = "image string, label string, source_image string, source_dataset string"
@@ -30,11 +32,6 @@ FLAT = {
 }
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _samples(spark: SparkSession, root: str, labels: str, folder: str, image: str, label: str) -> DataFrame | None:
     """Labelled images of a folder; labels whose image isn't there go."""
     root = root.rstrip("/")
@@ -71,7 +68,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 def decoded(files: DataFrame) -> DataFrame:
     """Grey rasters (path, height, width, data) of image files (path, content); those that can't be read go.
 
-    Binary grey maps (P5) are read here, other formats where Pillow is
+    Binary grey maps (P5) and grey PNG are read here, other formats where Pillow is
     installed on the executors.
     """
     schema = "path string, height int, width int, data binary"
@@ -99,6 +96,8 @@ def grey(content: bytes) -> np.ndarray | None:
                 at = line_end + 1
             w, h, _ = fields
             return np.frombuffer(content, np.uint8, w * h, at).reshape(h, w)
+        if (page := png.decoded(content)) is not None:
+            return page
         import io
 
         from PIL import Image

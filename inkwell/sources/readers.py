@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geometry import from_centre_padded, valid
 from ..functions.text import STOP_TOKENS, file_stem
 from ..operators.lexicon import load_lexicon
 
@@ -61,6 +62,29 @@ def detector_labels(spark: SparkSession, path: str, target: int | None = None) -
     return out if target is None else out.where(F.col("class") == target)
 
 
+def class_id(spark: SparkSession, path: str, target: str) -> int:
+    """The number of a class by its name; an error that lists the names where it isn't one."""
+    names = [r["name"] for r in class_names(spark, path).orderBy("index").collect()]
+    if target not in names:
+        raise ValueError(f"no class {target!r} among {names}")
+    return names.index(target)
+
+
+def label_boxes(labels: DataFrame, pages: DataFrame, pad: int = 8, least_area: int = 2000) -> DataFrame:
+    """(image_id, row, class, x1..y2): detector labels in pixels of their pages (image_id, width, height), padded; small ones go."""
+    of_page = labels.join(pages.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
+    corners = from_centre_padded(*[F.col(c) for c in ("cx", "cy", "w", "h", "_w", "_h")], pad=pad)
+    boxes = of_page.select("image_id", "row", "class", *[c.alias(k) for k, c in corners.items()])
+    return boxes.where(valid(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]) & ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) >= least_area))
+
+
+def labelled_images(spark: SparkSession, pages: str, labels: str) -> DataFrame:
+    """(image_id, path, label_path): the images of a folder with the label file of their name, or null; their bytes aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(labels)
+    of = files.select(file_stem(F.col("path")).alias("image_id"), F.col("path").alias("label_path"))
+    return images(spark, pages).select("image_id", "path").join(of, "image_id", "left")
+
+
 def class_names(spark: SparkSession, path: str) -> DataFrame:
     """(index, name) of the non-blank lines, in order."""
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")

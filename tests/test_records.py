@@ -357,7 +357,8 @@ def test_packages(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).where("content IS NOT NULL").count() == 4
     boxes = spark.createDataFrame([("p", 1, 0.5, 0.5, 0.25, 0.125), ("p", 0, 0.1, 0.1, 0.1, 0.1), ("q", 0, 0.2, 0.2, 0.2, 0.2)], "image_id string, row int, cx double, cy double, w double, h double")
     sinks.label_files(boxes, str(tmp_path / "y"), names=["region"])
-    assert (next((tmp_path / "y/labels/image_id=p").glob("*.txt"))).read_text() == "0 0.100000 0.100000 0.100000 0.100000\n0 0.500000 0.500000 0.250000 0.125000\n"
+    assert (tmp_path / "y/labels/q.txt").exists() and (tmp_path / "y/classes.txt").read_text() == "region\n"
+    assert (tmp_path / "y/labels/p.txt").read_text() == "0 0.100000 0.100000 0.100000 0.100000\n0 0.500000 0.500000 0.250000 0.125000\n"
     sheet = spark.createDataFrame([("a", "/x/1.png"), ("b", "/x/2.png")], "annotator_id string, image_path string")
     sinks.package(sheet, "a", str(tmp_path / "p"))
     assert [(r["image_path"], r["source"]) for r in readers.manifest(spark, str(tmp_path / "p")).collect()] == [("images/1.png", "/x/1.png")]
