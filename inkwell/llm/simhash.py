@@ -43,6 +43,8 @@ BYTES, BITS = 8, 3
 SHARED = BYTES - BITS
 #: Fingerprints of a list whose pairs are all compared, and shingles that are counted at once.
 PAIRED, SLICE = 256, 1 << 16
+#: Fingerprints whose entries one task makes.
+TASK_ROWS = 1 << 15
 NO_ID = -(1 << 63)
 SEED = 42
 #: The three open bytes of each list.
@@ -154,6 +156,8 @@ def index_entries(fp: Column) -> Column:
 
 def simhash_components(distinct: DataFrame) -> DataFrame:
     """(node, component) of the linked ones of a table of different fingerprints (fp)."""
+    # Small rows that grow 56 times: dealt first, so that no task makes more than its share.
+    distinct = distinct.repartition(max(8, -(-distinct.count() // TASK_ROWS)))
     entries = distinct.select("fp", F.explode(index_entries(F.col("fp"))).alias("e")).select("e.list", "e.key", "fp")
     lists = entries.groupBy("list", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return components(lists.select("list", "fps").mapInPandas(_links, "a long, b long"))
