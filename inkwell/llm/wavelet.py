@@ -41,13 +41,13 @@ class Cut:
         self.n, self.n_bits = int(self.lists[-1]), len(stored)
         place = np.repeat(begins - self.lists[:-1], lengths) + np.arange(self.n)
         impact = impacts[place]
-        node, starts = np.zeros(self.n, np.int64), np.array([0, size])
-        self.ones, self.impact = np.zeros((self.n_bits, self.n + 1), np.int64), np.zeros((self.n_bits + 1, self.n), np.int64)
+        node, starts = np.zeros(self.n, np.int32), np.array([0, size])
+        self.ones, self.impact = np.zeros((self.n_bits, self.n + 1), np.int32), np.zeros((self.n_bits + 1, self.n), np.int32)
         for level, plane in enumerate(stored):
             bits = np.unpackbits(np.frombuffer(plane, np.uint8), count=size, bitorder="little")
-            before = np.zeros(size + 1, np.int64)
+            before = np.zeros(size + 1, np.int32)
             np.cumsum(bits, out=before[1:])
-            own = bits[place].astype(np.int64)
+            own = bits[place].astype(np.int32)
             np.cumsum(own, out=self.ones[level, 1:])
             self.impact[level] = impact
             # Where each half of each node begins on the next level.
@@ -70,8 +70,10 @@ class Cut:
         ones, impact, n = self.ones.reshape(-1), self.impact.reshape(-1), self.n
         low, high = self.lists[lists][None], self.lists[lists + 1][None]
         level, start, end, name = (np.array([x]) for x in (0, 0, n, 0))
-        bound = np.array([int((weights * impact[low[0]]).sum())]) if len(lists) else np.zeros(1, np.int64)
         docs, scores, least = np.zeros(0, np.int64), np.zeros(0, np.int64), max(least, 1)
+        if not n or not len(lists):
+            return docs, scores
+        bound = np.where(low < high, weights * impact[np.minimum(low, n - 1)], 0).sum(axis=1)
         while True:
             alive = bound >= least
             if not alive.all():
