@@ -2,7 +2,9 @@
 
 Images are rows (id, height, width, data: eight-bit grey). Kernels turn pixels
 into components and profiles; every rule after that is a native expression on
-the arrays of its row (``functions.layout``), so nothing is shuffled.
+the arrays of its row (``functions.layout``), so nothing is shuffled. The numbers
+in the rules and defaults below (shares of a page, of medians, least sizes, the
+28th percentile) are fixed values that results depend on.
 """
 
 from __future__ import annotations

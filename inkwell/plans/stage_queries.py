@@ -218,12 +218,14 @@ def raster_words(spark, sf_dir):
     return S.detect_words(_drawn(spark, sf_dir)).select("image_id", "quality_flag", "component_count", "inter_word_gap", F.to_json("boxes").alias("words"))
 
 
-@query()
-def raster_text_areas(spark, sf_dir):
-    return S.text_areas(_drawn(spark, sf_dir)).select("image_id", "area.*")
+_STROKES = "s AS (SELECT region_id AS image_id, 16 + 90 * (y // 25) AS x1, 10 + 8 * (y % 25) AS y1, ink FROM ink WHERE ink > 0)"
 
 
-_STROKES = "s AS (SELECT region_id AS image_id, 16 + 90 * (y // 25) AS x1, 10 + 8 * (y % 25) AS y1, ink FROM ink WHERE ink > 0)"
+@query(f"""{_STROKES}, p AS (SELECT DISTINCT image_id FROM s),
+ k AS (SELECT image_id, min(greatest(0, x1 - 12)) AS x1, min(greatest(y1 - 2, 26)) AS y1, max(least(399, x1 + 6 * ink + 11)) AS x2, max(least(y1 + 6, 200)) AS y2 FROM s WHERE greatest(y1 - 2, 26) <= least(y1 + 6, 200) GROUP BY image_id)
+ SELECT image_id, CAST(coalesce(greatest(0, x1 - 16), 0) AS INT) AS x1, CAST(coalesce(greatest(0, y1 - 16), 33) AS INT) AS y1, CAST(coalesce(least(399, x2 + 17), 399) AS INT) AS x2, CAST(coalesce(least(223, y2 + 17), 190) AS INT) AS y2 FROM p LEFT JOIN k USING (image_id)""")
+def raster_text_areas(spark, sf_dir):
+    return S.text_areas(_drawn(spark, sf_dir)).select("image_id", "area.*")
 
 
 @query(f"{_STROKES} SELECT image_id, x1, y1, x1 + 6 * ink AS x2, y1 + 5 AS y2, CAST(30 * ink AS BIGINT) AS area FROM s")
