@@ -41,7 +41,7 @@ REMEMBERED = 250_000
 #: Bytes of text that are cut into chunks at once; a longer text is cut alone.
 SLICE_BYTES = 1 << 22
 #: Bytes of text that one task encodes, and what a row weighs besides its text.
-TASK_BYTES, ROW_BYTES = 32 << 20, 64
+TASK_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 def bits_for(vocabulary: int) -> int:
