@@ -9,11 +9,11 @@ Words are white-space separated with A-Z lower-cased. Documents of equal word
 sequences are one class, represented by its smallest doc_id. In every bucket
 each class is first paired with one centre, so a bucket of n classes gives n
 pairs. Classes that links haven't yet joined are then paired across components:
-all of them in buckets of at most ``LEAF`` members, and through a forest of
-MinHash trees over what sets them apart in larger ones (see ``crowds``), so a
-document has a bounded number of pairs however many share its buckets. With 40
-bands of 5 coordinates, a pair of similarity 0.8 shares no bucket once in 7
-million cases; what the forest finds is measured in the tests.
+all of them in buckets of at most ``LEAF`` members, and through lists of the rarest
+shingles that set them apart in larger ones (see ``crowds``, also for the bound
+from which MinHash trees take over), so a document has a bounded number of pairs
+however many share its buckets. With 40 bands of 5 coordinates, a pair of
+similarity 0.8 shares no bucket once in 7 million cases.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle is one shingle; for the links
@@ -250,12 +250,13 @@ def _components_of(heads: DataFrame, texts_of, width: int, percent: int) -> Data
         ahead = crowd.join(crowd.groupBy("key").agg(F.min("rep").alias("first")), "key")
         crowds = components(ahead.where("rep <> first").select(*pair("rep", "first")).distinct())
         members = crowd.select(F.col("rep").alias("node"), "part").distinct().join(crowds, "node")
-        second = second.union(crowd_pairs(members.select(F.col("component").alias("crowd"), F.col("node").alias("rep"), "part"), texts, width))
+        second = second.union(crowd_pairs(members.select(F.col("component").alias("crowd"), F.col("node").alias("rep"), "part"), texts, width, percent))
 
     second = written(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(confirm(second, texts, width, percent), "links")
     if not more.isEmpty():
         joined = joined_further(joined, more)
+    discard(crowded, texts, first, apart, second, more)
     return joined
 
 
