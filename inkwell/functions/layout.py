@@ -24,6 +24,11 @@ def cut(c: Column) -> Column:
     return c.cast("int")
 
 
+def hundredths(n: int, c: Column) -> Column:
+    """n hundredths of a whole number, truncated; 0.35 * 180 falls short of 63 in doubles."""
+    return cut(n * c / F.lit(100))
+
+
 def clip(c: Column, low, high) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     return F.least(F.greatest(c, lit(low)), lit(high))
@@ -85,7 +90,7 @@ def runs_of_words(boxes: Column, gap: Column) -> Column:
     """Boxes by (x1, y1); one joins the last word if it is within ``gap`` and close vertically."""
     def joins(p: Column, b: Column) -> Column:
         overlap = F.least(p["y2"], b["y2"]) - F.greatest(p["y1"], b["y1"])
-        return (b["x1"] - p["x2"] <= gap) & (overlap > -F.greatest(F.lit(4), cut(0.35 * (p["y2"] - p["y1"]))))
+        return (b["x1"] - p["x2"] <= gap) & (overlap > -F.greatest(F.lit(4), hundredths(35, p["y2"] - p["y1"])))
 
     return folded(in_order(boxes, "x1", "y1"), joins)
 
@@ -94,7 +99,7 @@ def first_fit(boxes: Column, tolerance: Column) -> Column:
     """Boxes by their middles, then x1; each joins the first of all bands whose middle is near, or starts another."""
     def step(done: Column, b: Column) -> Column:
         def near(band: Column) -> Column:
-            reach = F.greatest(tolerance.cast("int"), cut(0.55 * F.greatest(F.lit(1), band["y2"] - band["y1"])))
+            reach = F.greatest(tolerance.cast("int"), hundredths(55, F.greatest(F.lit(1), band["y2"] - band["y1"])))
             return F.abs((b["y1"] + b["y2"]) / 2 - (band["y1"] + band["y2"]) / 2) <= reach
 
         def placed(at: Column) -> Column:

@@ -7,6 +7,7 @@ import time
 import numpy as np
 
 from inkwell.functions import preparation as P
+from inkwell.operators import boxes as B
 
 
 def least_seconds(f, tries: int = 3) -> float:
@@ -54,3 +55,10 @@ def test_warps_cost_less_than_a_look_for_the_border_at_each_tap():
         return out
 
     assert least_seconds(lambda: P.warped(page, matrix, cubic=True)) < 0.8 * least_seconds(masked_taps)
+
+
+def test_a_word_of_180_rows_takes_one_63_rows_below_no_more(spark):
+    """0.35 * 180 is 63 exactly: an overlap of -63 is too far, -62 is not."""
+    rows = [("far", 0, 0, 50, 180), ("far", 52, 243, 90, 260), ("near", 0, 0, 50, 180), ("near", 52, 242, 90, 260)]
+    got = B.merge_words(spark.createDataFrame(rows, "page_id string, x1 int, y1 int, x2 int, y2 int"), "page_id", 4).groupBy("page_id").count()
+    assert {r["page_id"]: r["count"] for r in got.collect()} == {"far": 2, "near": 1}
