@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 import numpy as np
+import pytest
 
+import __spark_entry__ as entry
 from inkwell.functions import preparation as P
 from inkwell.operators import boxes as B
 
@@ -62,3 +65,27 @@ def test_a_word_of_180_rows_takes_one_63_rows_below_no_more(spark):
     rows = [("far", 0, 0, 50, 180), ("far", 52, 243, 90, 260), ("near", 0, 0, 50, 180), ("near", 52, 242, 90, 260)]
     got = B.merge_words(spark.createDataFrame(rows, "page_id string, x1 int, y1 int, x2 int, y2 int"), "page_id", 4).groupBy("page_id").count()
     assert {r["page_id"]: r["count"] for r in got.collect()} == {"far": 2, "near": 1}
+
+
+STROKED = ["raster_components", "raster_mask", "raster_nesting", "raster_crops", "layout_files"]
+
+
+@pytest.fixture(scope="module")
+def many_rows(tmp_path_factory):
+    """Events of three regions, one of which has 260 rows: more than stand on a page."""
+    folder = tmp_path_factory.mktemp("many_rows")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2020-01-01' + INTERVAL (i) SECOND AS ts, CASE WHEN i < 260 THEN 10 ELSE i % 2 END AS user_id FROM range(400) t(i)")
+    con.sql(f"COPY events TO '{folder}/events.parquet'")
+    for table in ("lineitem", "part", "documents", "labels"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", STROKED)
+def test_regions_of_more_rows_than_a_page_holds_are_whole(spark, many_rows, name):
+    folder, con = many_rows
+    got = entry.queries()[name](spark, folder)
+    want = con.sql(entry.oracle_sql()[name])
+    assert got.columns == want.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
