@@ -23,18 +23,15 @@ the rarest common entry is among its first t / 2 - own + 1. Members meet in the
 lists of these entries, filtered by size and by the places of the entry in both,
 and what is left is counted in full before it is confirmed on the texts.
 
-This finds all links while no list has more than ``LISTED`` members. Entries of
-longer lists aren't joined: crowds that have one among the first entries of a
-member get a forest of MinHash trees, too: members with the same first coordinates
-of a tree share a node, and nodes of more than ``LEAF`` members are split by further
-coordinates. Pairs are made in leaves only, so a member has at most ``TREES * LEAF``
-of them however large its crowd.
+Lists of more than ``LISTED`` members are met in parts: members fall into as many
+parts as the list needs by their hash, and each pair of parts is a group of its own,
+so a group stays within bounds, every pair of the list is looked at, and a long
+list is the work of many tasks. That work grows with the square of the list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,16 +39,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
-from .hashing import BASE, LOWER, mix
-from .minhash import shingle_sets, signatures
+from .hashing import LOWER
+from .minhash import shingle_sets
 
 #: Members whose majority is the pivot of a crowd; any pivot gives right results.
 SAMPLED = 15
-LEAF, TREES = 12, 32
-#: Members with an entry, up to which all of them meet.
+#: Members of a bucket up to which all of them are paired without a crowd.
+LEAF = 12
+#: Members with an entry, up to which all of them meet in one group.
 LISTED = 256
-#: Coordinates of a tree that the members of a node share, level by level.
-LEVELS = (1, 2, 3, 4, 6, 9, 13)
 
 
 def lowered(texts) -> list[bytes]:
@@ -79,52 +75,13 @@ def _differences(width: int):
     return run
 
 
-def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The nodes of each member, a row for each tree: keys of the levels, which tell trees and crowds apart."""
-    for frame in frames:
-        signs = signatures([np.asarray(d, np.int64).view(np.uint64) for d in frame["shared"]], TREES * LEVELS[-1])
-        signs = signs.reshape(len(frame), TREES, LEVELS[-1]).astype(np.uint64)
-        key = mix(frame["crowd"].to_numpy(np.int64).view(np.uint64)[:, None] * BASE + np.arange(TREES, dtype=np.uint64))
-        keys = []
-        for k in range(LEVELS[-1]):
-            key = mix(key * BASE + signs[:, :, k])
-            if k + 1 in LEVELS:
-                keys.append(key.view(np.int64))
-        rows = np.stack(keys, axis=2).reshape(-1, len(LEVELS))
-        yield pd.DataFrame({"rep": frame["rep"].repeat(TREES).to_numpy(), "part": frame["part"].repeat(TREES).to_numpy(), "keys": list(rows)})
-
-
-def paired(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each node that are of different parts."""
-    other = rows.select("node", F.col("rep").alias("rep_b"), F.col("part").alias("part_b"))
-    return rows.join(other, "node").where("part < part_b").select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
-
-
-def forest_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of members (rep, part, keys) that meet in a leaf; where the last level is still crowded, of all with one."""
-    found = []
-    for level in range(len(LEVELS)):
-        at = nodes.withColumn("node", F.get("keys", F.lit(level)))
-        sizes = at.groupBy("node").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("first"))
-        at = written(at.join(sizes.where("low < high").drop("low", "high"), "node"), "nodes")
-        found.append(paired(at.where(F.col("members") <= LEAF)))
-        nodes = at.where(F.col("members") > LEAF).select("rep", "part", "keys", "first")
-        if level < len(LEVELS) - 1:
-            nodes = nodes.drop("first")
-            if nodes.isEmpty():
-                break
-    else:
-        found.append(nodes.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    return reduce(DataFrame.union, found)
-
-
 def apart_at_most(total: Column, percent: int) -> Column:
     """Shingles that two linked sets of ``total`` shingles don't share, at most."""
     return F.floor(total * F.lit(100 - percent) / F.lit(100 + percent))
 
 
-def listed_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that common entries may make links, and the crowds where a list was too long to be joined.
+def listed_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that common entries may make links.
 
     ``members``: crowd, member, rep, part, n shingles, size of the difference, own
     entries of it, and ``shared``, the others with their members, rarest first.
@@ -135,8 +92,10 @@ def listed_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     taken = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("all")).cast("int"))
     entries = sized.select("crowd", "member", "part", "n", "size", "own", "first", F.size("shared").alias("held"), F.posexplode(taken).alias("at", "of"))
     entries = entries.select("*", "of.entry", "of.members").drop("of")
-    short = entries.where(F.col("members") <= LISTED).drop("members")
-    other = short.drop("first").select("crowd", "entry", *[F.col(c).alias(f"{c}_b") for c in ("member", "part", "n", "size", "own", "held", "at")])
+    # A member of part p of a list stands in the groups (p, q) and (q, p) of all parts q; a short list has one part.
+    parts = F.ceil(F.col("members") / F.lit(LISTED)).cast("int")
+    dealt = entries.withColumns({"mine": F.pmod(F.xxhash64("member"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))}).drop("members")
+    other = dealt.drop("first").select("crowd", "entry", F.col("mine").alias("other"), F.col("other").alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("member", "part", "n", "size", "own", "held", "at")])
     bound = apart_at_most(F.col("n") + F.col("n_b"), percent)
     fits = (
         (F.struct("size", "member") < F.struct(F.col("size_b").alias("size"), F.col("member_b").alias("member"))) & (F.col("part") != F.col("part_b"))
@@ -144,14 +103,13 @@ def listed_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
         & (F.col("at") + F.col("own") + F.col("at_b") + F.col("own_b") <= bound)
         & (F.col("size") + F.col("size_b") - 2 * F.least(F.col("held") - F.col("at"), F.col("held_b") - F.col("at_b")) <= bound)
     )
-    met = short.where(F.col("at") < F.col("first")).join(other, ["crowd", "entry"]).where(fits).select("member", "member_b").distinct()
+    met = dealt.where(F.col("at") < F.col("first")).join(other, ["crowd", "entry", "mine", "other"]).where(fits).select("member", "member_b").distinct()
     one = members.select("member", "rep", "n", "size", F.col("shared.entry").alias("entries"))
     two = one.select(*[F.col(c).alias(f"{c}_b") for c in one.columns])
     counted = met.join(one, "member").join(two, "member_b").where(
         F.col("size") + F.col("size_b") - 2 * F.size(F.array_intersect("entries", "entries_b")) <= bound
     )
-    longer = entries.where((F.col("members") > LISTED) & (F.col("at") < F.col("first"))).select("crowd").distinct()
-    return counted.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")), longer
+    return counted.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
 
 
 def crowd_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -174,13 +132,6 @@ def crowd_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int)
     shared = entries.join(repeated, ["crowd", "entry"]).groupBy("member").agg(F.sort_array(F.collect_list(F.struct("members", "entry"))).alias("shared"))
     held = differ.drop("differ").join(shared, "member").withColumn("own", F.col("size") - F.size("shared"))
     held = written(held, "shared")
-    pairs, longer = listed_pairs(held, percent)
-    longer = written(longer, "longer")
-    trees = []
-    if not longer.isEmpty():
-        far = held.join(longer, "crowd", "left_semi").select("crowd", "rep", "part", F.col("shared.entry").alias("shared"))
-        trees = [written(far.mapInPandas(_nodes, "rep long, part long, keys array<long>"), "trees")]
-        pairs = pairs.union(forest_pairs(trees[0]))
-    found = written(pairs.union(stars).distinct(), "pairs")
-    discard(pivots, differ, held, longer, *trees)
+    found = written(listed_pairs(held, percent).union(stars).distinct(), "pairs")
+    discard(pivots, differ, held)
     return found

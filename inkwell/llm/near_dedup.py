@@ -10,9 +10,7 @@ sequences are one class, represented by its smallest doc_id. In every bucket
 each class is first paired with one centre, so a bucket of n classes gives n
 pairs. Classes that links haven't yet joined are then paired across components:
 all of them in buckets of at most ``LEAF`` members, and through lists of the rarest
-shingles that set them apart in larger ones (see ``crowds``, also for the bound
-from which MinHash trees take over), so a document has a bounded number of pairs
-however many share its buckets. With 40 bands of 5 coordinates, a pair of
+shingles that set them apart in larger ones (see ``crowds``), which lose no link. With 40 bands of 5 coordinates, a pair of
 similarity 0.8 shares no bucket once in 7 million cases.
 
 Defined results: null, empty and blank texts have an empty set and are linked

@@ -288,6 +288,22 @@ def test_crowds_with_long_lists_get_trees(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_crowds_with_long_lists_lose_no_link(spark, monkeypatch):
+    """Lists beyond the bound meet in parts: all that can be linked is counted, in groups within the bound."""
+    from inkwell.llm import crowds
+
+    members = [(1, k, k, k, 100, 2, 0, [(40, 7), (40, 8)]) for k in range(40)]
+    schema = "crowd long, member long, rep long, part long, n long, size int, own int, shared array<struct<members:long,entry:long>>"
+    monkeypatch.setattr(crowds, "LISTED", 4)
+    found = crowds.listed_pairs(spark.createDataFrame(members, schema), 80)
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for b in range(40) for a in range(b)}
+
+    for seed in (7, 8):
+        rows = crowd(seed, 250)
+        got = {i: (x["n_shingles"], x["component_id"], x["kept"]) for i, x in by_id(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)).items()}
+        assert got == components(rows, 2)
+
+
 def test_crowds_of_unequal_lengths_lose_no_link(spark):
     """Members that miss or add a part of the template, some of them so near that they need no common difference."""
     r = np.random.default_rng(9)
