@@ -89,3 +89,9 @@ def test_regions_of_more_rows_than_a_page_holds_are_whole(spark, many_rows, name
     want = con.sql(entry.oracle_sql()[name])
     assert got.columns == want.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_pixels_of_turned_pages_are_not_shuffled(spark):
+    """Strokes are dealt by page before they become pixels: rows are numbered, strokes are dealt, and nothing else moves."""
+    plan = entry.queries()["skew_angles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
