@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from inkwell.functions import preparation as P
+from inkwell.functions import raster as R
 from inkwell.operators import boxes as B
 
 
@@ -95,3 +96,17 @@ def test_pixels_of_turned_pages_are_not_shuffled(spark):
     """Strokes are dealt by page before they become pixels: rows are numbered, strokes are dealt, and nothing else moves."""
     plan = entry.queries()["skew_angles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_wide_blurs_and_spreads_cost_little():
+    """Against a transform of each line, whose lengths have large prime factors, and running sums of each line."""
+    page = noisy_page(448, 800)
+    wide = np.pad(page.astype(float), 15, mode="edge")
+
+    def transforms():
+        for axis in (0, 1):
+            np.fft.irfft(np.fft.rfft(wide, 2 * 239 if axis == 0 else 2 * 419, axis=axis), axis=axis)
+
+    assert least_seconds(lambda: R.gaussian(page, 31), 5) < least_seconds(transforms, 5)
+    ink = (page < 128).astype(np.uint8)
+    assert least_seconds(lambda: R.spread(ink, 41, 5), 5) < least_seconds(lambda: np.cumsum(np.cumsum(ink.astype(np.int32), axis=0), axis=1), 5)
