@@ -16,6 +16,7 @@ from ..operators import datasets as D
 from ..operators import entities as E
 from ..operators import metrics as M
 from ..operators.lexicon import best_matches, demo_matches, load_lexicon
+from ..operators.tables import written
 from . import matching_sql as S
 from .views import INK, LINES, SHEET, oracle, spark_view
 
@@ -51,6 +52,11 @@ def _words(lines: DataFrame) -> DataFrame:
     return words.select("line_id", F.col("pos").alias("word_idx"), T.compose_id(F.col("line_id"), "w", F.col("pos")).alias("word_id"), "ocr_text", (F.col("x1") + 24 * F.col("pos")).alias("x1_page"))
 
 
+def _dealt_lines(spark, sf_dir) -> DataFrame:
+    """Lines, written once and dealt by line_id: their words are made where they are put together again."""
+    return written(_lines(spark, sf_dir).select("line_id", "page_id", "x1", "text"), "lines").repartition("line_id")
+
+
 _sql_normal, _sql_clean, _sql_all = S.normal, S.cleaned, S.all_found
 
 
@@ -143,13 +149,13 @@ def status_histogram(spark, sf_dir):
 
 @query(f"""{_PARSED} SELECT *, array_to_string(list_filter([medicine_name, replace(dosage, '; ', ' + '), replace(frequency, '; ', ' + '), replace(route, '; ', ' + ')], lambda x: x <> ''), ' ') AS final_corrected_text FROM entities""")
 def line_rollup(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    lines = _dealt_lines(spark, sf_dir)
     return E.roll_up(lines.select("line_id", "page_id"), _words(lines), _lexicon(spark, sf_dir)).select("line_id", *E.ENTITIES, "final_corrected_text")
 
 
 @query(f"SELECT line_id, {_sql_normal('text')} AS line_ocr_text FROM rx")
 def line_texts(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    lines = _dealt_lines(spark, sf_dir)
     return E.line_texts(lines.select("line_id"), _words(lines)).select("line_id", "line_ocr_text")
 
 

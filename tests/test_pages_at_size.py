@@ -110,3 +110,10 @@ def test_wide_blurs_and_spreads_cost_little():
     assert least_seconds(lambda: R.gaussian(page, 31), 5) < least_seconds(transforms, 5)
     ink = (page < 128).astype(np.uint8)
     assert least_seconds(lambda: R.spread(ink, 41, 5), 5) < least_seconds(lambda: np.cumsum(np.cumsum(ink.astype(np.int32), axis=0), axis=1), 5)
+
+
+@pytest.mark.parametrize("name", ["line_texts", "line_no_words"])
+def test_words_are_not_shuffled_to_their_lines(spark, name):
+    """Lines are dealt before they are cut into words, and come from one written table: nothing above the words moves them."""
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Window" not in plan
