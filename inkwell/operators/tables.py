@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,13 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._path)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def once_each(rows: DataFrame, column: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``f`` adds to a table of the different values of a column: equal values are worked on once.
+
+    The rows are written once, since they are read twice and may come from a model.
+    """
+    kept = written(rows, "rows")
+    found = written(f(kept.select(column).distinct()), "found").withColumnRenamed(column, "_of")
+    return kept.join(found, kept[column].eqNullSafe(found["_of"])).drop("_of")

@@ -16,7 +16,7 @@ from ..operators import datasets as D
 from ..operators import entities as E
 from ..operators import metrics as M
 from ..operators.lexicon import best_matches, demo_matches, load_lexicon
-from ..operators.tables import written
+from ..operators.tables import once_each, written
 from . import matching_sql as S
 from .views import INK, LINES, SHEET, oracle, spark_view
 
@@ -98,7 +98,8 @@ def clean_candidates(spark, sf_dir):
 
 @query(f"texts AS (SELECT DISTINCT text FROM rx),{S.CANDIDATES} SELECT line_id, array_to_string(cands, '|') AS candidates FROM rx JOIN cands ON rx.text = cands.text")
 def candidate_ngrams(spark, sf_dir):
-    return _lines(spark, sf_dir).select("line_id", F.array_join(T.candidates(F.col("text")), "|").alias("candidates"))
+    cut = lambda texts: texts.withColumn("candidates", F.array_join(T.candidates(F.col("text")), "|"))
+    return once_each(_lines(spark, sf_dir).select("line_id", "text"), "text", cut).select("line_id", "candidates")
 
 
 @query("SELECT p_name AS drug, CAST(row_number() OVER (ORDER BY p_name) AS INT) - 1 AS drug_idx FROM (SELECT DISTINCT p_name FROM part) q")
