@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def given_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; at its end the memory that Arrow's pool keeps free goes back to the system.
+
+    Workers outlive their tasks and count with their executor while later stages
+    run; what the pool keeps would add to all of them.
+    """
+
+    def task(found: Iterator) -> Iterator:
+        try:
+            yield from run(found)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def running_sum(
     df: DataFrame, group: str, order: list[str], bucket: str, value: str, out: str
 ) -> DataFrame:

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, given_back, written
 from .hashing import LOWER
 from .minhash import shingle_sets
 
@@ -72,7 +72,7 @@ def _differences(width: int):
             each = [np.setxor1d(s, p, assume_unique=True) for s, p in zip(sets, pivots, strict=True)]
             yield frame[["crowd", "rep", "part"]].assign(n=sizes, differ=[d.view(np.int64) for d in each])
 
-    return run
+    return given_back(run)
 
 
 def apart_at_most(total: Column, percent: int) -> Column:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import given_back
 from .hashing import LOWER, batches, hashed_words, windows_hash
 
 SHINGLE = 5
@@ -142,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
                 rest = [[index.ids[i] for _, i, _ in rows], [n for _, _, n in rows], [len(index.sets[i]) for _, i, _ in rows]]
                 yield pa.RecordBatch.from_arrays([of, *[pa.array(x, pa.int64()) for x in rest]], MATCHED)
 
-        found.append(slim.mapInArrow(search, MATCHES))
+        found.append(slim.mapInArrow(given_back(search), MATCHES))
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
@@ -160,5 +161,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int
                 clean[[t for t, _, _ in index.matches(texts)]] = False
                 yield batch.filter(clean)
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(given_back(keep), docs.schema)
     return docs

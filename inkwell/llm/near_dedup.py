@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, discard, text_of, written
+from .common import WHITE, discard, given_back, text_of, written
 from .crowds import LEAF, crowd_pairs
 from .hashing import BASE, LOWER, batches, mix
 from .minhash import shingle_sets, signatures
@@ -99,7 +99,7 @@ def _signed(width: int, keys: list[str]):
                     "n_shingles": [len(s) for s in sets], "bands": bands, "sketch": bits,
                 })
 
-    return run
+    return given_back(run)
 
 
 def _shingles(text: str, width: int) -> set:
@@ -132,7 +132,7 @@ def _confirmed(width: int, percent: int):
                     rows.append((a, b))
             yield pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
-    return run
+    return given_back(run)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import given_back
+
 MAGIC = b"IKT1"
 HEADER = struct.Struct("<4sHxxIQ")
 BLOCKS = "shard int, block int, first_doc long, n_docs int, n_ids long, data binary"
@@ -38,8 +40,8 @@ END_ID = 1
 BLOCK_IDS = 1 << 16
 #: Chunks of a generation; a worker remembers two, and each chunk takes some 150 bytes.
 REMEMBERED = 250_000
-#: Bytes of text that are cut into chunks at once; a longer text is cut alone.
-SLICE_BYTES = 1 << 22
+#: Bytes of text that are cut into chunks at once, with some 28 bytes of memory for each meanwhile; a longer text is cut alone.
+SLICE_BYTES = 1 << 20
 #: Bytes of text that one task encodes, and what a row weighs besides its text.
 TASK_BYTES, ROW_BYTES = 16 << 20, 64
 
@@ -264,7 +266,7 @@ def encoded_blocks(path: str, end_id: int, vocabulary: int, block_ids: int):
         if docs:
             yield full()
 
-    return run
+    return given_back(run)
 
 
 def write_tokens(
@@ -298,7 +300,7 @@ def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row a document of a token table: doc_id, start, n_tokens, ids_crc32, shard, block."""
     rows = spark.read.schema(BLOCKS).parquet(path).select("shard", "block", "data").mapInPandas(
-        _decoded, "doc_id long, shard int, block int, place int, n_tokens long, ids_crc32 long"
+        given_back(_decoded), "doc_id long, shard int, block int, place int, n_tokens long, ids_crc32 long"
     )
     # Sums of the shards, a row for each partition that was written; then those inside a shard.
     counts = spark.read.schema(BLOCKS).parquet(path).groupBy(F.col("shard").alias("_ik_shard")).agg(F.sum("n_ids").alias("_ik_n"))
