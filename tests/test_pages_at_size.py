@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from inkwell.functions import preparation as P
 from inkwell.functions import raster as R
 from inkwell.operators import boxes as B
+from inkwell.operators import segments as S
 
 
 def least_seconds(f, tries: int = 3) -> float:
@@ -117,3 +118,26 @@ def test_words_are_not_shuffled_to_their_lines(spark, name):
     """Lines are dealt before they are cut into words, and come from one written table: nothing above the words moves them."""
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "Window" not in plan
+
+
+def test_images_are_drawn_and_sent_to_be_cut_once(spark):
+    """One kernel draws, one cuts all crops of an image, one sums; pixels are neither joined nor sent for each crop."""
+    plan = entry.queries()["raster_crops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert "Join" not in plan and plan.count("MapInArrow") == 3
+
+
+def test_crops_of_many_boxes_and_their_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROP_PIXELS", 500)
+    rng = np.random.default_rng(8)
+    pages = {k: rng.integers(0, 256, (40, 70)).astype(np.uint8) for k in "abc"}
+    boxes = [(k, j, *map(int, rng.integers(-20, 80, 4)), f"{k}{j}") for k in "ab" for j in range(60)] + [("d", 0, 0, 0, 9, 9, "no page"), ("a", 99, 0, 0, 70, 40, "all")]
+    images = spark.createDataFrame([(k, *p.shape, bytearray(p.tobytes())) for k, p in pages.items()], "image_id string, height int, width int, data binary")
+    got = S.crops(images, spark.createDataFrame(boxes, "image_id string, row int, x1 int, y1 int, x2 int, y2 int, name string"))
+    assert got.columns == ["image_id", "row", "height", "width", "data", "name"]
+    want = set()
+    for k, j, x1, y1, x2, y2, name in boxes:
+        part = R.crop(pages[k], x1, y1, x2, y2) if k in pages else np.zeros((0, 0), np.uint8)
+        if part.size:
+            want.add((k, j, *part.shape, part.tobytes(), name))
+    assert {(r[0], r[1], r[2], r[3], bytes(r[4]), r[5]) for r in got.collect()} == want and got.count() == len(want)
