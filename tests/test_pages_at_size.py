@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from inkwell.functions import preparation as P
 from inkwell.functions import raster as R
 from inkwell.operators import boxes as B
+from inkwell.operators import reading
 from inkwell.operators import segments as S
 
 
@@ -143,6 +144,19 @@ def test_crops_of_many_boxes_and_their_other_columns(spark, monkeypatch):
     assert {(r[0], r[1], r[2], r[3], bytes(r[4]), r[5]) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_a_review_reads_no_words_and_looks_up_no_names(spark):
+    """How segmentation went is known before words are read; texts and names are made for the tables that need them."""
+    def no_reader():
+        raise AssertionError("words were read")
+
+    page = noisy_page()
+    pages = spark.createDataFrame([("p1", *page.shape, bytearray(page.tobytes()))], "page_id string, height int, width int, data binary")
+    run = reading.read_pages(pages, no_reader, spark.createDataFrame([], "drug string"))
+    review = run.review.collect()
+    assert {r["stage"] for r in review} == {"line", "word"}
+    assert sum(r["detected_count"] for r in review if r["stage"] == "word") == run.words.count() > 0
+
+
 def test_denoising_in_sixteen_bits_costs_less_and_is_the_same():
     """Against sums of 32 bits whose arrays are made anew for each shift."""
     page = noisy_page()
